@@ -266,7 +266,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, groups: int = 48, rows_per_
     shared = spark.sparkContext.broadcast((rows[:, 0] << 44 | rows[:, 1], rows))
     order = [F.col(c) for c in found.columns]
     spread = F.xxhash64(*found.columns)
-    ranked = with_rank(found, ["length"], order, spread, max(16, sum(counts.values()) // rows_per_part))
+    ranked = with_rank(found, ["length"], order, spread, max(256, sum(counts.values()) // rows_per_part))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,7 +87,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     state = propagate(base.where("hub is not null").select("uid", "hub"), capacity, rounds)
     labelled = base.join(state.select(F.col("uid").alias("u"), "label"), F.col("uid") == F.col("u"), "left").select("id", "size", "crc", "uid", F.coalesce("label", F.lit(-1)).alias("label"))
-    buckets = max(32, total // rows_per_part)
+    buckets = max(256, total // rows_per_part)
     ranked = cut(with_rank(labelled, ["label"], [F.col("uid")], F.xxhash64("uid"), buckets))
     held = {r["label"]: r["n"] for r in ranked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most shards + 1 rows
     kept = [min(held.get(s, 0), capacity[s]) for s in range(shards)]
