@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op4_sharding": "sharding",
     "op5_toxicity": "toxicity",
+    "op6_jaccard": "jaccard",
     "op8_warc": "warc",
     "op9_packing": "packing",
 }
