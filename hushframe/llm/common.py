@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,8 +106,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
+#: Places of a bit table: a fixed 4 MB, whatever the data.
+BITS = 1 << 25
+
+
+def bit_place(*cols: str) -> Column:
+    """The place of a key in a bit table."""
+    return F.pmod(F.xxhash64(*cols), F.lit(BITS)) + 1
+
+
+def bit_table(places: DataFrame) -> np.ndarray:
+    """Bits for the places in column ``p``: a prefilter of fixed size for a join whose one side may be small. It may let other
+    rows pass, so the join itself must follow; it never stops a row of the table."""
+    rows = places.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    table = np.zeros(BITS // 8, np.uint8)
+    for r in rows:  # at most BITS / 32768 rows of 4 KB
+        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
+        at = (r["k"] - 1) * 4096
+        table[at : at + len(bits)] = bits
+    return table
+
+
+def bits_at(table: np.ndarray, p: np.ndarray) -> np.ndarray:
+    p = p - 1
+    return (table[p // 8] >> (p % 8).astype(np.uint8) & 1).astype(bool)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["components", "cut", "drop_path", "new_path", "parts", "shared_dir", "stored", "with_rank"]
+__all__ = ["BITS", "bit_place", "bit_table", "bits_at", "components", "cut", "drop_path", "new_path", "parts", "shared_dir", "stored", "with_rank"]

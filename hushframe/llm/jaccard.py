@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, parts, stored
+from .common import bit_place, bit_table, bits_at, components, cut, parts, stored
 from .tokens import LOWER, NON_SPACE, buffers, hashes, mix, shingles, slices, words
 
 SIZE = 4
@@ -31,8 +31,6 @@ PERCENT = 85
 SKETCH = 128
 #: Signatures that a task holds to join equal ones before the shuffle; it bounds memory, not results.
 HELD = 3_000_000
-#: Bits of the prefilter for texts to fetch: a fixed 4 MB; an exact join follows it.
-BITS = 1 << 25
 _U = np.uint64
 _I64 = np.int64
 
@@ -233,23 +231,14 @@ def _possible(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
 def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, text) of the wanted nodes (node, doc_id), one text each. A fixed-size bit table spares most other rows the join."""
     spark = docs.sparkSession
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
-    rows = wanted.select(place("doc_id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    table = np.zeros(BITS // 8, np.uint8)
-    for r in rows:  # at most BITS / 32768 rows of 4 KB
-        at = (r["k"] - 1) * 4096
-        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
-        table[at : at + len(bits)] = bits[: len(table) - at]
-    shared = spark.sparkContext.broadcast(table)
-    given = docs.select("doc_id", "text", place("doc_id").alias("p"))
+    shared = spark.sparkContext.broadcast(bit_table(wanted.select(bit_place("doc_id").alias("p"))))
+    given = docs.select("doc_id", "text", bit_place("doc_id").alias("p"))
     id_type = given.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            p = batch.column("p").to_numpy() - 1
-            hit = bits[p // 8] >> (p % 8).astype(np.uint8) & 1
-            for part in slices(batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "text"]), "text"):
+            hit = bits_at(shared.value, batch.column("p").to_numpy())
+            for part in slices(batch.filter(pa.array(hit)).select(["doc_id", "text"]), "text"):
                 text, h = sets(part.column("text"), size)
                 node, _ = node_ids(text, h, part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(node)], names=["doc_id", "text", "node"])
