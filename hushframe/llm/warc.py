@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import bit_place, bit_table, bits_at, cut, new_path, stored
 
 LEAST = 100
 PER_BLOCK = 2000
@@ -55,15 +55,36 @@ def _uuid(seed: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, file_bytes: int = FILE_BYTES, date: str = DATE) -> None:
-    """Write one record a row below ``path``. The payload moves once, from the input to the archive."""
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, file_bytes: int = FILE_BYTES) -> None:
+    """Write one record a row below ``path``. Only payloads that may have equals are shuffled."""
+    spark = pages.sparkSession
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x1F\x7F]", "").alias("url"), html.alias("html")).withColumns(
         {"bytes": F.octet_length("html").cast("long"), "digest": F.sha2(F.encode("html", "utf-8"), 256)}
     )
     # only digests that two rows or more share; combined before the shuffle
     shared = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    found = rows.join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left")
+    shared = cut(shared)
+    mean = rows.agg(F.avg("bytes")).first()[0] or 1
+    # payloads whose digest nobody shares are written where they are read; only the others are dealt out to be joined
+    table = spark.sparkContext.broadcast(bit_table(shared.select(bit_place("d").alias("p"))))
+
+    def some(shares: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = bits_at(table.value, batch.column("p").to_numpy())
+                yield batch.filter(pa.array(hit == shares))
+
+        marked = rows.withColumn("p", bit_place("digest"))
+        return marked.mapInArrow(run, marked.schema).drop("p")
+
+    dealt = some(True).join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left").drop("d").hint("rebalance")
+    for found in (some(False).withColumn("first", F.lit(None).cast("long")), dealt):
+        _records_of(found).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, int(file_bytes // (mean + 600)))).text(path)
+
+
+def _records_of(found: DataFrame) -> DataFrame:
+    """WARC records without their closing line ends, of rows with page_id, url, html, bytes, digest and first."""
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("html"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -72,7 +93,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.lit("WARC/1.0\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", _uuid(F.concat_ws("|", page, "digest"))),
-        line("WARC-Date", F.lit(date)),
+        line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.concat(
@@ -85,8 +106,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"), body,
     )
-    # adaptive execution gives tasks of this many bytes, and a task writes a file
-    found.select(record.alias("value")).hint("rebalance").write.option("lineSep", END).text(path)
+    return found.select(record.alias("value"))
 
 
 def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -213,7 +233,7 @@ class Index:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{path}/archive")
-    write_index(captures(spark, f"{path}/archive"), f"{path}/index")
+    write_index(stored(captures(spark, f"{path}/archive"), "captures"), f"{path}/index")
     return entries(spark, f"{path}/index").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
