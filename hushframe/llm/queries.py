@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module of this subpackage that has a function of that name, and ORACLE_SQL where SQL can express it.
 MODULES = {
     "op1_pii": "pii",
+    "op2_neardup": "neardup",
     "op3_decontamination": "decontam",
     "op4_sharding": "sharding",
     "op5_toxicity": "toxicity",
