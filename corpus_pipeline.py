@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hushframe.llm import decontam, jaccard, packing, pii, toxicity
 from hushframe.llm.common import stored
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity.stage),
+    ("jaccard", jaccard.stage),
+    ("decontamination", decontam.stage),
+    ("pii", pii.stage),
+    ("packing", packing.stage),
+]
 
 #: SQL can express neither a trained classifier nor a packing; tests hold the stages against plain versions.
 ORACLE_SQL = None

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,11 +54,20 @@ def _drop_all() -> None:
             return
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files, checkpoints and broadcasts of tables that nothing refers to any more.
+
+    It acts when the driver collects its garbage, which the iterative operators make it do after each large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet into the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,6 +112,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         up = step.select(F.col("node").alias("up_node"), F.col("label").alias("up_label"))
         labels = cut(step.join(up, F.col("label") == F.col("up_node"), "left").select("node", "was", F.least("label", F.coalesce("up_label", "label")).alias("label")))
+        tidy(edges.sparkSession)
         if labels.where("was <> label").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
         labels = labels.select("node", "label")
@@ -132,8 +145,28 @@ def bits_at(table: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (table[p // 8] >> (p % 8).astype(np.uint8) & 1).astype(bool)
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows of the given ids (a table of one column). Only rows that the bit table lets pass are shuffled."""
+    (name,) = ids.columns
+    ids = cut(ids.distinct())
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids.select(bit_place(name).alias("p"))))
+    marked = docs.withColumn("_p", bit_place(id_col))
+
+    def some(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = batch.column(batch.schema.get_field_index("_p")).to_numpy()
+                yield batch.filter(pa.array(bits_at(table.value, p) == hit))
+
+        return marked.mapInArrow(run, marked.schema).drop("_p")
+
+    bad = ids.select(F.col(name).alias("_bad"))
+    return some(False).union(some(True).join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti"))
+
+
 def parts(spark: SparkSession) -> int:
+    """Shuffle partitions, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["BITS", "bit_place", "bit_table", "bits_at", "components", "cut", "drop_path", "new_path", "parts", "shared_dir", "stored", "with_rank"]
+__all__ = ["BITS", "bit_place", "bit_table", "bits_at", "components", "cut", "drop_path", "new_path", "parts", "shared_dir", "stored", "tidy", "with_rank", "without"]

@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, stored, without
 from .tokens import ALNUM, LOWER, buffers, hashes, slices, words
 
 WINDOW = 10
@@ -339,5 +339,5 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go; rows of one id go together."""
-    marked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(marked, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
+    marked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    return without(docs, marked.select("doc_id"))

@@ -5,7 +5,8 @@ sets with Jaccard similarity of 85 % or more have sizes within 85 % of each othe
 larger partners may be in. In a band whose largest size is r, similar sets differ in k = floor(2 r * 15 / 185) shingles
 at most. The shingle domain is hashed into n1 partitions, each of n2 = 3 parts. With n1 = ceil((k + 1) / 2), some partition holds one
 of the differences at most, and two of its three parts are equal: each partition gives three signatures, one for each pair
-of parts. So similar sets always share a signature; empty parts count as equal ones and are signed too.
+of parts. So similar sets always share a signature. Parts that are empty in both count as equal; as that says little, two empty parts
+sign together with each signature of a second, independent partitioning, of which similar sets share one too.
 
 Signatures meet without pairs: a task joins the sets of a signature to the smallest of them, sends that one on, and the shuffle
 does the same with the tasks' smallest. Each signature's members thus form a star, of as many edges as members. Stars'
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_place, bit_table, bits_at, components, cut, parts, stored
+from .common import bit_place, bit_table, bits_at, components, cut, parts, stored, without
 from .tokens import LOWER, NON_SPACE, buffers, hashes, mix, shingles, slices, words
 
 SIZE = 4
@@ -41,8 +42,15 @@ def sets(texts: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[data]
     starts, ends, first = words(low, at, NON_SPACE)
     h, text = shingles(hashes(low, starts, ends), first, size)
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
+    # each text's shingles stand together; those of short texts, one each, come last
+    counts = np.diff(first)
+    bounds = np.concatenate([[0], np.cumsum(np.maximum(0, counts - size + 1))])
+    for i, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if k - i > 1:
+            h[i:k].sort()
+    if bounds[-1] < len(h):
+        order = np.argsort(text, kind="stable")
+        h, text = h[order], text[order]
     if len(h):
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
         h, text = h[new], text[new]
@@ -78,6 +86,25 @@ def bands(most: int) -> list[int]:
     return edges
 
 
+def _band_signatures(local: np.ndarray, r: np.ndarray, n1: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text, empty) of texts in one band each: ``local`` and ``r`` are their shingles' texts and random numbers, ``n1`` the
+    numbers of partitions. ``empty``: the signature's parts hold no shingle."""
+    first = np.concatenate([[0], np.cumsum(n1)])
+    partition = ((r >> _U(32)) * n1[local].astype(_U) >> _U(32)).astype(_I64)
+    cell = (first[local] + partition) * 3 + (r % _U(3)).astype(_I64)
+    sums = np.zeros(int(first[-1]) * 3, _U)
+    np.add.at(sums, cell, mix(r + _U(77)))
+    sums = sums.reshape(-1, 3)
+    held = np.bincount(cell, minlength=int(first[-1]) * 3).reshape(-1, 3) > 0
+    owner = np.repeat(np.arange(len(n1)), n1)
+    tag = mix((np.arange(len(owner)) - first[owner]).astype(_U) + band[owner].astype(_U) * _U(1 << 40))
+    out = [mix(tag + sums[:, x] * _U(0x9E3779B97F4A7C15) + sums[:, y] * _U(0xD1342543DE82EF95) + _U(i + 1)) for i, (x, y) in enumerate(_PARTS)]
+    return np.stack(out, 1).ravel(), np.repeat(owner, 3), np.stack([~(held[:, x] | held[:, y]) for x, y in _PARTS], 1).ravel()
+
+
+_PARTS = ((1, 2), (0, 2), (0, 1))
+
+
 def signatures(text: np.ndarray, h: np.ndarray, node: np.ndarray, count: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(signature, node) of all texts with shingles; equal sets are expected once."""
     if not len(h):
@@ -88,45 +115,47 @@ def signatures(text: np.ndarray, h: np.ndarray, node: np.ndarray, count: np.ndar
     out_s, out_n = [], []
     base = mix(h)
     starts = np.concatenate([[0], np.cumsum(count)])
+
+    def part(chosen: np.ndarray, band: np.ndarray, k: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = count[chosen]
+        local = np.repeat(np.arange(len(chosen)), size)
+        at = np.arange(len(local)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[chosen], size)
+        r = mix(base[at] + band[local].astype(_U) * _U(0x9E3779B97F4A7C15) + _U(family << 50))
+        return _band_signatures(local, r, (k + 2) // 2, band)
+
     for step in range(int((last - own)[count > 0].max()) + 1):
         band = np.minimum(own + step, last)
         k = 2 * (edges[band + 1] - 1) * (100 - percent) // (100 + percent)
         chosen = np.flatnonzero((count > 0) & (own + step <= last) & (k > 0))
         if not len(chosen):
             continue
-        n1 = (k[chosen] + 2) // 2
-        first = np.concatenate([[0], np.cumsum(n1)])
-        # the chosen texts' shingles, and the part of each: partition by high bits, part by low ones, seeded by the band
-        size = count[chosen]
-        local = np.repeat(np.arange(len(chosen)), size)
-        at = np.arange(len(local)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[chosen], size)
-        seed = band[chosen].astype(_U)[local]
-        r = mix(base[at] + seed * _U(0x9E3779B97F4A7C15))
-        partition = ((r >> _U(32)) * n1[local].astype(_U) >> _U(32)).astype(_I64)
-        cell = (first[local] + partition) * 3 + (r % _U(3)).astype(_I64)
-        sums = np.zeros(int(first[-1]) * 3, _U)
-        np.add.at(sums, cell, mix(r + _U(77)))
-        sums = sums.reshape(-1, 3)
-        owner = np.repeat(np.arange(len(chosen)), n1)
-        tag = mix((np.arange(len(owner)) - first[owner]).astype(_U) + band[chosen].astype(_U)[owner] * _U(1 << 40))
-        for omit, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
-            out_s.append(mix(tag + sums[:, a] * _U(0x9E3779B97F4A7C15) + sums[:, b] * _U(0xD1342543DE82EF95) + _U(omit + 1)))
-            out_n.append(node[chosen][owner])
+        sig, owner, empty = part(chosen, band[chosen], k[chosen], 0)
+        out_s.append(sig[~empty])
+        out_n.append(node[chosen][owner[~empty]])
+        if empty.any():
+            # two parts without a shingle say little, so they sign together with each signature of a second partitioning, one
+            # of which similar sets share as well
+            sig, owner = sig[empty], owner[empty]
+            some, place = np.unique(owner, return_inverse=True)
+            sig2, owner2, _ = part(chosen[some], band[chosen][some], k[chosen][some], 1)
+            at = np.searchsorted(owner2, np.arange(len(some) + 1))
+            times = np.diff(at)[place]
+            second = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(at[place], times)
+            out_s.append(mix(np.repeat(sig, times) * _U(3) + sig2[second]))
+            out_n.append(np.repeat(node[chosen][owner], times))
     if not out_s:
         return np.zeros(0, _U), np.zeros(0, _I64)
     return np.concatenate(out_s), np.concatenate(out_n)
 
 
 def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, smallest node, node) for each signature and node once, in order."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
+    """(signature, smallest node, node) for each signature and node, by signature."""
     if not len(sig):
         return sig, node, node
-    new = np.concatenate([[True], sig[1:] != sig[:-1]])
-    kept = new | np.concatenate([[True], node[1:] != node[:-1]])
-    lead = node[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-    return sig[kept], lead[kept], node[kept]
+    order = np.argsort(sig)
+    sig, node = sig[order], node[order]
+    at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    return sig, np.repeat(np.minimum.reduceat(node, at), np.diff(np.append(at, len(sig)))), node
 
 
 def star_edges(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -319,3 +348,9 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group the document with the smallest id stays, and those that link with nothing."""
+    found = join(docs)
+    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))

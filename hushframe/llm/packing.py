@@ -285,3 +285,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, groups: int = 48, rows_per_
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(stored(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Last pipeline stage: the pieces of all documents, packed."""
+    return pack(stored(pieces(docs), "pieces"))

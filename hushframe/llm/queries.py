@@ -18,6 +18,7 @@ MODULES = {
     "op7_html": "html",
     "op8_warc": "warc",
     "op9_packing": "packing",
+    "op10_licenses": "licenses",
 }
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored, tidy
 from .tokens import ALNUM, LOWER, buffers, hashes, mix, owners, slices, words
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -129,20 +129,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
         return train(np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 2, np.zeros(0), np.array([True] * n.get(1, 0) + [False] * (n.get(0, 0) > 0), bool), prior)
     rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id").distinct().join(known, "doc_id", "left").where("doc_id is not null")
     some = lambda which, most: rows.where(which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = cut(some(F.col("toxic") == 1, max_positive).union(some(rest, max_unlabelled)).select("doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic")))
+    chosen = cut(some(F.col("toxic") == 1, max_positive).union(some(rest, max_unlabelled)).select("doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"), F.monotonically_increasing_id().alias("row")))
     # a bounded number of ids: max_positive + max_unlabelled
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("row", "toxic").agg(F.max("text").alias("text"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 text, feature, count, n_words = features(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), batch.column("toxic").take(pa.array(text)), pa.array(feature), pa.array(weight(count, n_words[text]))], names=["doc_id", "toxic", "feature", "value"])
+                value = weight(count, n_words[text]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(text)), batch.column("toxic").take(pa.array(text)), pa.array(feature.astype(np.int32)), pa.array(value)], names=["row", "toxic", "feature", "value"])
 
-    id_type = sample.schema["doc_id"].dataType.simpleString()
-    found = cut(sample.repartition(24, "doc_id").mapInArrow(entries, f"doc_id {id_type}, toxic boolean, feature long, value double"))
-    size = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
-    n_p, n_u = size[True], size[False]
+    found = stored(sample.repartition(24, "row").mapInArrow(entries, "row long, toxic boolean, feature int, value float"), "sample")
+    marks = sorted((r["row"], r["toxic"]) for r in chosen.select("row", "toxic").collect())
+    ids, toxic = np.array([m[0] for m in marks]), np.array([m[1] for m in marks], bool)
+    n_p, n_u = int(toxic.sum()), int((~toxic).sum())
     seen = found.groupBy("feature").agg(F.sum(F.col("toxic").cast("int")).alias("p"), F.sum((~F.col("toxic")).cast("int")).alias("u"))
     # log-likelihood ratio of the two document rates, for features more frequent among toxic rows
     part = lambda x, total, all_: F.when(x > 0, x * F.log(x / total / all_)).otherwise(0.0)
@@ -154,16 +155,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.searchsorted(keys, batch.column("feature").to_numpy())
-            hit = pa.array((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == batch.column("feature").to_numpy()) if len(keys) else np.zeros(batch.num_rows, bool))
-            kept = batch.filter(hit)
-            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), pa.array(at[hit.to_numpy(zero_copy_only=False)]), kept.column("value")], names=["doc_id", "col", "value"])
+            feature = batch.column("feature").to_numpy()
+            at = np.minimum(np.searchsorted(keys, feature), len(keys) - 1)
+            hit = keys[at] == feature
+            row = np.searchsorted(ids, batch.column("row").to_numpy()[hit])
+            key = row.astype(np.int64) << 32 | at[hit]
+            # a row of the result carries a batch's entries: place of row and column, and value
+            yield pa.RecordBatch.from_pydict({"key": [key.tobytes()], "value": [batch.column("value").to_numpy()[hit].tobytes()]})
 
     # the sample's entries of kept features: bounded by the sample and the number of features
-    got = found.select("doc_id", "feature", "value").mapInArrow(compact, f"doc_id {id_type}, col long, value double").toPandas().sort_values(["doc_id", "col"])
-    marks = chosen.orderBy("doc_id").toPandas()
-    place = marks.reset_index().set_index("doc_id")["index"]
-    return train(keys, place.loc[got["doc_id"]].to_numpy(), got["col"].to_numpy(), got["value"].to_numpy(), marks["toxic"].to_numpy(bool), prior)
+    got = found.select("row", "feature", "value").mapInArrow(compact, "key binary, value binary").collect() if len(keys) else []
+    key = np.frombuffer(b"".join(bytes(r["key"]) for r in got), np.int64)
+    order = np.argsort(key, kind="stable")
+    value = np.frombuffer(b"".join(bytes(r["value"]) for r in got), np.float32)[order]
+    del got
+    key = key[order]
+    row, col = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+    del key, order
+    tidy(docs.sparkSession)
+    return train(keys, row, col, value, toxic, prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
