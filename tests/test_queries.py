@@ -1,0 +1,23 @@
+import pytest
+
+from helpers import spark_rows, sql_rows
+from hushframe.plans import queries as Q
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_against_sql(spark, name):
+    assert spark_rows(Q.QUERIES[name](spark, SF)) == sql_rows(Q.ORACLES[name], SF)
+
+
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
+def test_runs(spark, name):
+    assert Q.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_entry(spark):
+    import __spark_entry__ as E
+
+    assert E.entry(spark).count() == 1500
+    assert set(E.oracle_sql()) <= set(E.queries())
