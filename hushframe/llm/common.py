@@ -150,18 +150,18 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     (name,) = ids.columns
     ids = cut(ids.distinct())
     table = docs.sparkSession.sparkContext.broadcast(bit_table(ids.select(bit_place(name).alias("p"))))
-    marked = docs.withColumn("_p", bit_place(id_col))
+    marked = docs.withColumn("_hf_p", bit_place(id_col))
 
     def some(hit: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                p = batch.column(batch.schema.get_field_index("_p")).to_numpy()
+                p = batch.column(batch.schema.get_field_index("_hf_p")).to_numpy()
                 yield batch.filter(pa.array(bits_at(table.value, p) == hit))
 
-        return marked.mapInArrow(run, marked.schema).drop("_p")
+        return marked.mapInArrow(run, marked.schema).drop("_hf_p")
 
-    bad = ids.select(F.col(name).alias("_bad"))
-    return some(False).union(some(True).join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti"))
+    bad = ids.select(F.col(name).alias("_hf_bad"))
+    return some(False).union(some(True).join(bad, F.col(id_col).eqNullSafe(F.col("_hf_bad")), "left_anti"))
 
 
 def parts(spark: SparkSession) -> int:

@@ -7,6 +7,8 @@ for the shard, among those with room, that holds most of its neighbours. Request
 a quota: its capacity less the linked documents in it, plus those that leave. Documents without links have no wish
 and fill what remains, so they never displace linked ones.
 
+A group of more than half a shard's rows cannot stay together and would only block the others; it is dealt out in a run over few shards.
+
 The end is exact: linked documents beyond a shard's capacity join the unlinked ones in a pool, which is dealt out in
 runs over what the shards still lack. Sizes follow the law ``rows``: counts of any two shards differ by one at most.
 """
@@ -85,20 +87,30 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     base = cut(rows.join(groups, F.col("hub").eqNullSafe(F.col("h")) & ~F.col("alone"), "left").select("id", "size", "crc", F.when(F.col("h").isNotNull(), F.xxhash64("hub")).alias("hub"), F.monotonically_increasing_id().alias("uid")))
     total = base.count()
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
-    state = propagate(base.where("hub is not null").select("uid", "hub"), capacity, rounds)
-    labelled = base.join(state.select(F.col("uid").alias("u"), "label"), F.col("uid") == F.col("u"), "left").select("id", "size", "crc", "uid", F.coalesce("label", F.lit(-1)).alias("label"))
+    # hubs of more than half a shard: 2 * shards at most; dealt out in runs, they fill few shards and take no quota from small groups
+    big = [r["hub"] for r in base.where("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, capacity[0] // 2)).orderBy(F.desc("n"), "hub").limit(2 * shards).collect()]
+    state = propagate(base.where(F.col("hub").isNotNull() & ~F.col("hub").isin(big)).select("uid", "hub"), capacity, rounds)
+    own = F.lit(-1)
+    for i, h in enumerate(big):
+        own = F.when(F.col("hub") == h, -2 - i).otherwise(own)
+    labelled = base.join(state.select(F.col("uid").alias("u"), "label"), F.col("uid") == F.col("u"), "left").select("id", "size", "crc", "uid", F.coalesce("label", own).alias("label"))
     buckets = max(256, total // rows_per_part)
     ranked = cut(with_rank(labelled, ["label"], [F.col("uid")], F.xxhash64("uid"), buckets))
-    held = {r["label"]: r["n"] for r in ranked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most shards + 1 rows
+    held = {r["label"]: r["n"] for r in ranked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 3 * shards + 1 rows
     kept = [min(held.get(s, 0), capacity[s]) for s in range(shards)]
-    # the pool: unlinked rows, then what is over in each shard; pool place -> shard by running sums
-    over_start, at = {}, held.get(-1, 0)
+    # the pool: large hubs, unlinked rows, then what is over in each shard; pool place -> shard by running sums
+    over_start, at, pool = {}, 0, {}
+    for label in [*range(-2, -2 - len(big), -1), -1]:
+        pool[label] = at
+        at += held.get(label, 0)
     for s in range(shards):
         over_start[s] = at
         at += held.get(s, 0) - kept[s]
-    place = F.when(F.col("label") == -1, F.col("rank"))
+    place = F.lit(None).cast("long")
+    for label, first in pool.items():
+        place = F.when(F.col("label") == label, F.col("rank") + first).otherwise(place)
     for s in range(shards):
-        place = place.when((F.col("label") == s) & (F.col("rank") >= kept[s]), F.col("rank") - kept[s] + over_start[s])
+        place = F.when((F.col("label") == s) & (F.col("rank") >= kept[s]), F.col("rank") - kept[s] + over_start[s]).otherwise(place)
     to_shard, to_slot, lo = F.col("label"), F.col("rank"), 0
     for s in range(shards):
         lack = capacity[s] - kept[s]
