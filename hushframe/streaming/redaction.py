@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -84,15 +85,44 @@ def redact_stream(chunks: DataFrame, look_ahead: int = LOOK_AHEAD) -> DataFrame:
 
 
 def redact_chunks(chunks: DataFrame, look_ahead: int = LOOK_AHEAD) -> DataFrame:
-    """The same over a table of chunks: (stream_id, redacted, counters) of whole streams. A stream is as long as one body."""
+    """The same over a table of chunks: (stream_id, redacted, counters) of whole streams.
 
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        stream = Stream(look_ahead)
-        text = [stream.feed(x or "") for x in rows.sort_values("chunk_seq")["data"]]
-        text.append(stream.finish())
-        return pd.DataFrame({"stream_id": [key[0]], "redacted": ["".join(text)], **{k: [v] for k, v in stream.stats.items()}, "errors": [0]})
+    Chunks are dealt out by stream and sorted on disk if need be; a task holds one stream at a time, whatever the number of streams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stream, text = None, None, []
+        ids: list = []
+        out: list[list] = [[] for _ in range(5)]
 
-    return chunks.groupBy("stream_id").applyInPandas(whole, "stream_id long, redacted string, bytes_read long, bytes_written long, chunks_processed long, patterns_found long, errors long")
+        def end() -> None:
+            if stream is not None:
+                text.append(stream.finish())
+                ids.append(now)
+                for c, v in zip(out, ("".join(text), *stream.stats.values()), strict=True):
+                    c.append(v)
+                text.clear()
+
+        def send() -> pa.RecordBatch:
+            kinds = [pa.string(), *[pa.int64()] * 4]
+            batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)], pa.array([0] * len(ids), pa.int64())], names=["stream_id", "redacted", "bytes_read", "bytes_written", "chunks_processed", "patterns_found", "errors"])
+            ids.clear()
+            for c in out:
+                c.clear()
+            return batch
+
+        first = True
+        for batch in batches:
+            for key, data in zip(batch.column("stream_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if first or key != now:
+                    end()
+                    now, stream, first = key, Stream(look_ahead), False
+                text.append(stream.feed(data or ""))
+            yield send()
+        end()
+        yield send()
+
+    dealt = chunks.select(F.col("stream_id").cast("long").alias("stream_id"), "chunk_seq", "data").repartition("stream_id").sortWithinPartitions("stream_id", "chunk_seq")
+    return dealt.mapInArrow(run, "stream_id long, redacted string, bytes_read long, bytes_written long, chunks_processed long, patterns_found long, errors long")
 
 
 def merge_stats(stats: DataFrame) -> DataFrame:
