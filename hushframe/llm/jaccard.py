@@ -5,8 +5,9 @@ sets with Jaccard similarity of 85 % or more have sizes within 85 % of each othe
 larger partners may be in. In a band whose largest size is r, similar sets differ in k = floor(2 r * 15 / 185) shingles
 at most. The shingle domain is hashed into n1 partitions, each of n2 = 3 parts. With n1 = ceil((k + 1) / 2), some partition holds one
 of the differences at most, and two of its three parts are equal: each partition gives three signatures, one for each pair
-of parts. So similar sets always share a signature. Parts that are empty in both count as equal; as that says little, two empty parts
-sign together with each signature of a second, independent partitioning, of which similar sets share one too.
+of parts. So similar sets always share a signature. Parts that are empty in both count as equal, which says little; so there are 6 %
+more partitions than needed, and as many more with one difference at most. A set with no more partitions than these spare ones that
+have two empty parts leaves the signatures of empty parts out: it shares another one. Only the rare other sets sign them.
 
 Signatures meet without pairs: a task joins the sets of a signature to the smallest of them, sends that one on, and the shuffle
 does the same with the tasks' smallest. Each signature's members thus form a star, of as many edges as members. Stars'
@@ -29,9 +30,11 @@ from .tokens import LOWER, NON_SPACE, buffers, hashes, mix, shingles, slices, wo
 
 SIZE = 4
 PERCENT = 85
-SKETCH = 128
+SKETCH = 512
+#: Members of a signature that one task compares; more are dealt into blocks, and pairs of blocks are compared.
+GROUP = 2000
 #: Signatures that a task holds to join equal ones before the shuffle; it bounds memory, not results.
-HELD = 3_000_000
+HELD = 1_500_000
 _U = np.uint64
 _I64 = np.int64
 
@@ -75,7 +78,14 @@ def node_ids(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 def sketches(text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """Numbers of shingles in each of the sketch's buckets."""
     cell = text * SKETCH + (mix(h ^ _U(0x5851F42D4C957F2D)) % _U(SKETCH)).astype(_I64)
-    return np.minimum(np.bincount(cell, minlength=n * SKETCH), 65535).astype("<u2").reshape(n, SKETCH)
+    return np.minimum(np.bincount(cell, minlength=n * SKETCH), 255).astype(np.uint8).reshape(n, SKETCH)
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches allow pairs of sets of n shingles together to be similar. A full bucket bounds nothing."""
+    least = np.minimum(x, y)
+    most = np.where((least == 255).any(1), n, least.sum(1, dtype=_I64))
+    return 100 * most >= percent * (n - most)
 
 
 def bands(most: int) -> list[int]:
@@ -116,33 +126,24 @@ def signatures(text: np.ndarray, h: np.ndarray, node: np.ndarray, count: np.ndar
     base = mix(h)
     starts = np.concatenate([[0], np.cumsum(count)])
 
-    def part(chosen: np.ndarray, band: np.ndarray, k: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = count[chosen]
-        local = np.repeat(np.arange(len(chosen)), size)
-        at = np.arange(len(local)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[chosen], size)
-        r = mix(base[at] + band[local].astype(_U) * _U(0x9E3779B97F4A7C15) + _U(family << 50))
-        return _band_signatures(local, r, (k + 2) // 2, band)
-
     for step in range(int((last - own)[count > 0].max()) + 1):
         band = np.minimum(own + step, last)
         k = 2 * (edges[band + 1] - 1) * (100 - percent) // (100 + percent)
         chosen = np.flatnonzero((count > 0) & (own + step <= last) & (k > 0))
         if not len(chosen):
             continue
-        sig, owner, empty = part(chosen, band[chosen], k[chosen], 0)
-        out_s.append(sig[~empty])
-        out_n.append(node[chosen][owner[~empty]])
-        if empty.any():
-            # two parts without a shingle say little, so they sign together with each signature of a second partitioning, one
-            # of which similar sets share as well
-            sig, owner = sig[empty], owner[empty]
-            some, place = np.unique(owner, return_inverse=True)
-            sig2, owner2, _ = part(chosen[some], band[chosen][some], k[chosen][some], 1)
-            at = np.searchsorted(owner2, np.arange(len(some) + 1))
-            times = np.diff(at)[place]
-            second = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(at[place], times)
-            out_s.append(mix(np.repeat(sig, times) * _U(3) + sig2[second]))
-            out_n.append(np.repeat(node[chosen][owner], times))
+        need = (k[chosen] + 2) // 2
+        spare = -(-need * 6 // 100)
+        size = count[chosen]
+        local = np.repeat(np.arange(len(chosen)), size)
+        at = np.arange(len(local)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[chosen], size)
+        r = mix(base[at] + band[chosen][local].astype(_U) * _U(0x9E3779B97F4A7C15))
+        sig, owner, empty = _band_signatures(local, r, need + spare, band[chosen])
+        # partitions with a signature of empty parts, by text
+        holes = np.bincount(owner[::3][empty.reshape(-1, 3).any(1)], minlength=len(chosen))
+        kept = ~empty | (holes > spare)[owner]
+        out_s.append(sig[kept])
+        out_n.append(node[chosen][owner[kept]])
     if not out_s:
         return np.zeros(0, _U), np.zeros(0, _I64)
     return np.concatenate(out_s), np.concatenate(out_n)
@@ -170,16 +171,13 @@ def star_edges(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
                 return
             sig, a, b = _stars(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
             held.clear()
-            lead = a == b
-            # a signature's smallest node goes by the signature, its edges anywhere
-            by = np.where(lead, sig, mix(sig ^ b.view(_U)))
             for i in range(0, len(sig), 100_000):
                 j = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(by[j].view(_I64)), pa.array(sig[j].view(_I64)), pa.array(a[j]), pa.array(b[j])], names=["by", "sig", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[j].view(_I64)), pa.array(a[j]), pa.array(b[j])], names=["sig", "a", "b"])
 
         n = 0
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 text, h = sets(batch.column("text"), size)
                 node, count = node_ids(text, h, batch.num_rows)
                 # equal sets once: the first of this slice that earlier slices did not have
@@ -217,8 +215,10 @@ def star_edges(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
                 head, out = m, np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[out], sig[~star]])), pa.array(np.concatenate([head[out], a[~star]])), pa.array(np.concatenate([m[out], b[~star]]))], names=["sig", "a", "b"])
 
-    rows = docs.select("text").mapInArrow(run, "by long, sig long, a long, b long")
-    dealt = rows.repartition(parts(docs.sparkSession), "by").sortWithinPartitions("sig", "a", "b").select("sig", "a", "b")
+    rows = docs.select("text").mapInArrow(run, "sig long, a long, b long")
+    # a signature's smallest node goes by the signature, its edges anywhere
+    by = F.when(F.col("a") == F.col("b"), F.col("sig")).otherwise(F.xxhash64("sig", "b"))
+    dealt = rows.repartition(parts(docs.sparkSession), by).sortWithinPartitions("sig", "a", "b")
     return dealt.mapInArrow(join, "sig long, a long, b long")
 
 
@@ -233,7 +233,7 @@ def nodes_of(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 n = batch.num_rows
                 text, h = sets(batch.column("text"), size)
                 node, count = node_ids(text, h, n)
-                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SKETCH), n, [None, pa.py_buffer(sketches(text, h, n).tobytes())]).cast(pa.binary())
+                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), n, [None, pa.py_buffer(sketches(text, h, n).tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(node), sketch], names=["doc_id", "n_shingles", "node", "sketch"])
 
     return given.mapInArrow(run, f"doc_id {id_type}, n_shingles long, node long, sketch binary")
@@ -248,15 +248,65 @@ def _possible(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(f"sketch_{c}").to_pylist()), "<u2").reshape(-1, SKETCH) for c in "ab")
+            x, y = (np.frombuffer(b"".join(batch.column(f"sketch_{c}").to_pylist()), np.uint8).reshape(-1, SKETCH) for c in "ab")
             n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            least = np.minimum(x, y)
-            most = np.where((least == 65535).any(1), n, least.sum(1, dtype=_I64))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(100 * most >= percent * (n - most)))
+            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(x, y, n, percent)))
 
     return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
+def _cross(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members (sig, node, part, n, sketch) of one signature in different parts that sizes and sketches do not exclude.
+
+    Members of a signature are compared in one task without making rows of pairs; only what may be similar comes out."""
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP).select(F.col("sig").alias("large"), F.ceil(F.col("size") / GROUP).cast("int").alias("k"))
+    dealt = members.join(sizes, F.col("sig") == F.col("large"), "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "n", "sketch")
+
+    def pairs(group: tuple[np.ndarray, ...]) -> np.ndarray:
+        i, j, block, node, part, n, sketch = group
+        out = []
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for x in left:
+            y = right[(part[right] != part[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+            if i[0] == j[0]:
+                y = y[y > x]
+            if len(y):
+                y = y[may_be_similar(sketch[x][None], sketch[y], n[x] + n[y], percent)]
+                out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
+        return np.concatenate(out) if out else np.zeros((0, 2), _I64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        found: list[np.ndarray] = []
+
+        def end() -> None:
+            if held and sum(len(x[0]) for x in held) > 1:
+                found.append(pairs(tuple(np.concatenate(c) for c in zip(*held, strict=True))))
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, *rest = (batch.column(c).to_numpy() for c in ("sig", "i", "j", "block", "node", "part", "n"))
+            rest.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
+            new = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1])]))
+            for lo, hi in zip(new, [*new[1:], len(sig)], strict=True):
+                now = (sig[lo], rest[0][lo], rest[1][lo])
+                if now != key:
+                    end()
+                    key = now
+                held.append(tuple(c[lo:hi] for c in rest))
+            if sum(map(len, found)) > 100_000:
+                found[:] = [np.unique(np.concatenate(found), axis=0)]
+        end()
+        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), _I64)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    dealt = rows.repartition(parts(members.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, text) of the wanted nodes (node, doc_id), one text each. A fixed-size bit table spares most other rows the join."""
     spark = docs.sparkSession
@@ -310,9 +360,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     sized = cut(rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     edges = stored(star_edges(docs, size, percent), "stars")
     pairs = cut(_possible(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).select("a", "b"), sized, percent))
-    # first a single partner for each node, which settles most; then what is still apart
-    tested = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = cut(_verified(tested, docs, sized, size, percent))
+    links = cut(_verified(pairs, docs, sized, size, percent))
     parents = components(links)
 
     def labelled(df: DataFrame, *ends: str) -> DataFrame:
@@ -320,20 +368,11 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
             df = df.join(parents.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
         return df
 
-    apart = cut(labelled(pairs.join(tested, ["a", "b"], "left_anti"), "a", "b").where("of_a <> of_b").select("a", "b"))
-    if not apart.isEmpty():
-        more = cut(_verified(apart, docs, sized, size, percent))
-        tested = cut(tested.union(apart))
-        if not more.isEmpty():
-            links = cut(links.union(more))
-            parents = components(links)
     # signatures whose stars hold several components: every two members of different components
-    open_ = labelled(edges, "a", "b").where("of_a <> of_b").select("sig").distinct()
+    open_ = cut(labelled(edges, "a", "b").where("of_a <> of_b").select("sig").distinct())
     held = edges.join(open_, "sig")
-    members = cut(labelled(held.select("sig", F.col("a").alias("x")).union(held.select("sig", "b")).distinct(), "x").join(sized.select(F.col("node").alias("x"), "n"), "x"))
-    x, y = members.alias("x"), members.alias("y")
-    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.x") < F.col("y.x")) & (F.col("x.of_x") != F.col("y.of_x")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))).select(F.col("x.x").alias("a"), F.col("y.x").alias("b")).distinct()
-    rest = cut(_possible(cross.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), sized, percent))
+    members = labelled(held.select("sig", F.col("a").alias("x")).union(held.select("sig", "b")).distinct(), "x").join(sized.select(F.col("node").alias("x"), "n", "sketch"), "x").select("sig", F.col("x").alias("node"), F.col("of_x").alias("part"), "n", "sketch")
+    rest = cut(_cross(members, percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = cut(_verified(rest, docs, sized, size, percent))
         if not more.isEmpty():
@@ -354,3 +393,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest id stays, and those that link with nothing."""
     found = join(docs)
     return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = w.doc_id
+"""

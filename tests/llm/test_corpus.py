@@ -310,6 +310,27 @@ def test_jaccard_odd(spark, odd):
     assert jaccard.join(odd).count() == len(ODD) and jaccard.join(odd.limit(0)).count() == 0
 
 
+def test_members_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    draw = np.random.default_rng(3)
+    rows = []
+    for sig in range(6):
+        common = draw.integers(0, 4, jaccard.SKETCH).astype(np.uint8)
+        for k in range(int(draw.integers(1, 12))):
+            own = common.copy()
+            own[draw.integers(0, jaccard.SKETCH, 30 * (k % 3))] += 1
+            rows.append((sig, sig * 100 + k, int(draw.integers(0, 4)), int(own.sum()), bytes(own)))
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]:
+                least = np.minimum(np.frombuffer(a[4], np.uint8), np.frombuffer(b[4], np.uint8)).sum(dtype=int)
+                if 100 * min(a[3], b[3]) >= 85 * max(a[3], b[3]) and 100 * least >= 85 * (a[3] + b[3] - least):
+                    want.add((a[1], b[1]))
+    members = spark.createDataFrame(rows, "sig long, node long, part long, n long, sketch binary").repartition(3)
+    assert {tuple(r) for r in jaccard._cross(members, 85).collect()} == want and want
+
+
 def test_signatures_meet():
     draw = np.random.default_rng(0)
     for n in (7, 12, 30, 100, 700, 4000):
