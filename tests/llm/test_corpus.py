@@ -469,3 +469,22 @@ def test_pipeline(spark, tmp_path):
     assert not any(base_spans(t) for t in left.values())
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert {r["doc_id"] for r in packed.collect()} == set(left)
+
+
+def test_neardup_finds_pairs_that_no_cluster_holds(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PER_SHARD", 30)
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(600, 64)))
+    away = rng.normal(size=x.shape)
+    away = unit(away - (away * x).sum(1, keepdims=True) * x)
+    x = np.concatenate([x, 0.902 * x + np.sqrt(1 - 0.902**2) * away])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = {r["vec_id"]: r for r in neardup.near_duplicates(table).collect()}
+    assert all(rows[i]["n_links"] == 1 and rows[i]["component_id"] == i % 600 for i in range(1200))
+    graph = [r["n_links"] for r in neardup.near_duplicates(table, exact_up_to=0).collect()]
+    assert sum(graph) >= 0.95 * 1200 and max(graph) == 1
+    monkeypatch.setattr(neardup, "CAP", 20)  # blocks of the exact comparison, too
+    monkeypatch.setattr(neardup, "BLOCK", 64 * 200)
+    again = neardup.near_duplicates(table).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows.values()))
