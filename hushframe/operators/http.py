@@ -77,10 +77,12 @@ def dechunk(body: Column) -> Column:
     state = F.struct(F.lit(1).alias("at"), F.lit(False).alias("done"), F.array().cast("array<binary>").alias("out"))
 
     def step(s: Column, _: Column) -> Column:
-        window = F.substring(raw, s["at"], F.lit(64)).cast("string")
+        # a short look first, so that a step does not copy the rest of the body; a line that is longer is looked for in all of it
+        near = F.substring(raw, s["at"], F.lit(64)).cast("string")
+        window = F.when(near.contains("\r\n"), near).otherwise(F.substring(raw, s["at"], F.octet_length(raw)).cast("string"))
         line = F.substring_index(window, "\r\n", 1)
-        size = F.conv(F.trim(F.substring_index(line, ";", 1)), 16, 10).try_cast("int")
-        ok = ~s["done"] & window.contains("\r\n") & line.rlike("^ *[0-9A-Fa-f]{1,7} *(;.*)?$") & (size > 0)
+        size = F.least(F.conv(F.trim(F.substring_index(line, ";", 1)), 16, 10).try_cast("long"), F.octet_length(raw).cast("long")).cast("int")
+        ok = ~s["done"] & window.contains("\r\n") & line.rlike("(?s)^ *0*[0-9A-Fa-f]{1,15} *(;.*)?$") & (size > 0)
         start = s["at"] + F.octet_length(line) + 2
         return F.when(ok, F.struct((start + size + 2).alias("at"), F.lit(False).alias("done"), F.array_append(s["out"], F.substring(raw, start, size)).alias("out"))).otherwise(F.struct(s["at"].alias("at"), F.lit(True).alias("done"), s["out"].alias("out")))
 

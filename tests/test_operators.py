@@ -89,6 +89,16 @@ def test_http(spark):
     assert one(spark, http.serialize(F.lit("GET / HTTP/1.1"), http.headers(F.lit("A: 1\r\n\r\n")), F.lit("x"))) == "GET / HTTP/1.1\r\nA: 1\r\n\r\nx"
 
 
+@pytest.mark.parametrize("line", ["5;chunk-signature=" + "a" * 64, "5 ;x=" + "é;" * 3000, "0" * 40 + "5", "00000005;a=b", "0" * 90 + "5;" + "b" * 90])
+def test_dechunk_long_size_lines(spark, line):
+    assert one(spark, http.dechunk(F.lit(f"{line}\r\nhello\r\n{line}\r\n\r\nyou\r\n{'0' * 70}\r\n\r\n"))) == "hello\r\nyou"
+
+
+def test_dechunk_cut_body(spark):
+    assert one(spark, http.dechunk(F.lit("7fffffffff\r\nall there is"))) == "all there is"
+    assert one(spark, http.dechunk(F.lit("2\r\nok\r\n5;no line end" + "x" * 80))) == "ok"
+
+
 def test_formats(spark):
     assert one(spark, formats.format_of(F.lit("a\x00b"))) == "binary"
     assert one(spark, formats.format_of(F.lit("é" * 100))) == "binary"
