@@ -69,6 +69,12 @@ def detect_validated(spark: SparkSession, sf: str) -> DataFrame:
     return D.matches(docs, detector="validated").select("doc_id", "start", "end")
 
 
+@query()
+def detect_validated_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The validated detector over every row; ``detect_validated`` and its SQL are of one kind of secret."""
+    return _one("validated")(spark, sf)
+
+
 @query(f"SELECT doc_id, pattern_type, start, \"end\" FROM ({FOUND}) f WHERE kind = 3")
 def detect_jwt(spark: SparkSession, sf: str) -> DataFrame:
     # the token's second part begins like a token too, but has one dot only
@@ -240,15 +246,34 @@ def placeholder_values(spark: SparkSession, sf: str) -> DataFrame:
     return placeholders.generate(_secrets(spark, sf), SEED)
 
 
-@query(f"SELECT name, value AS restored, TRUE AS hidden FROM ({SECRETS}) s")
-def placeholder_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = placeholders.generate(_secrets(spark, sf), SEED)
+def _roundtrip(secrets: DataFrame) -> DataFrame:
+    pairs = placeholders.generate(secrets, SEED)
     text = F.concat(F.lit("Authorization: "), F.col("placeholder"))
     sent = pairs.select("name", "value", "placeholder", F.replace(text, F.col("placeholder"), F.col("value")).alias("sent"))
     back = sent.withColumn("back", F.replace("sent", F.col("value"), F.col("placeholder")))
     return back.select("name", F.substring("sent", F.lit(16), F.length("sent")).alias("restored"), (~F.col("back").contains(F.col("value")) & placeholders.is_placeholder(F.col("back"))).alias("hidden"))
 
 
+@query(f"SELECT name, value AS restored, TRUE AS hidden FROM ({SECRETS}) s")
+def placeholder_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    return _roundtrip(_secrets(spark, sf))
+
+
+def _all_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return seeded(spark, sf).select(F.concat(F.lit("VAR_"), F.col("doc_id")).alias("name"), F.col("secret").alias("value"))
+
+
+@query()
+def placeholder_values_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Placeholders for every kind of secret; ``placeholder_values`` and its SQL are of three kinds."""
+    return placeholders.generate(_all_secrets(spark, sf), SEED)
+
+
+@query()
+def placeholder_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _roundtrip(_all_secrets(spark, sf))
+
+
 @query("SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
 def secret_collisions(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("value"))

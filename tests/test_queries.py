@@ -1,7 +1,11 @@
+from hashlib import sha256
+
 import pytest
 
 from helpers import spark_rows, sql_rows
+from hushframe.functions import kernel
 from hushframe.plans import queries as Q
+from hushframe.plans.corpora import seeded
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +25,32 @@ def test_entry(spark):
 
     assert E.entry(spark).count() == 1500
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_validated_over_every_row(spark):
+    rows = seeded(spark, SF).collect()
+    there = [(r["doc_id"], kind, start, end) for r in rows for start, end, kind, *_ in kernel.validated_prefix(r["text"])]
+    assert sorted(map(tuple, Q.QUERIES["detect_validated_all"](spark, SF).collect())) == sorted(there)
+    assert len({r["doc_id"] % 12 for r in rows} & {k % 12 for k, *_ in there}) > 1
+
+
+def test_placeholders_for_every_kind(spark):
+    def kept(v):
+        parts, short = v.replace("-", "_").split("_"), lambda p: 1 <= len(p.encode()) <= 4
+        if len(parts) > 1 and short(parts[0]):
+            sep = v[len(parts[0])]
+            return parts[0] + sep + (parts[1] + sep if len(parts) > 2 and short(parts[1]) else "")
+        if len(v) >= 4 and all("A" <= c <= "Z" for c in v[:4]):
+            return v[:4]
+        return v.split(".")[0] + "." if "." in v and short(v.split(".")[0]) else ""
+
+    def hidden(name, v):
+        start = kept(v) + "scrd-"
+        n = max(0, len(v.encode()) - len(start))
+        return start + (sha256((name + Q.SEED).encode()).hexdigest() * (n // 64 + 1))[:n]
+
+    given = {f"VAR_{r['doc_id']}": r["secret"] for r in seeded(spark, SF).collect()}
+    found = Q.QUERIES["placeholder_values_all"](spark, SF).collect()
+    assert sorted(map(tuple, found)) == sorted((n, v, hidden(n, v), kept(v)) for n, v in given.items())
+    back = Q.QUERIES["placeholder_roundtrip_all"](spark, SF).collect()
+    assert sorted(map(tuple, back)) == sorted((n, v, True) for n, v in given.items())
