@@ -143,7 +143,10 @@ def detect_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def redact_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return D.redact(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url"), "url").select("page_id", "redacted", "n_matches")
+    """Pages with html and url redacted; n_matches counts both."""
+    pages = D.redact(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html"), "html", gated=False).withColumnRenamed("n_matches", "n_html")
+    done = D.redact(pages.drop("html"), "url", "redacted_url", gated=False)
+    return done.select("page_id", "redacted", "redacted_url", (F.col("n_html") + F.col("n_matches")).alias("n_matches"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'mongodb://u:[REDACTED]@h' || c_custkey || ':27017/db' WHEN 1 THEN 'https://hooks.slack.com/services/T/B/[REDACTED]' ELSE 'user:secret' || c_custkey END AS redacted FROM customer""")
