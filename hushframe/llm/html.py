@@ -1,9 +1,10 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree; parts that are never text (scripts, styles, forms) and parts that name themselves as menus, headers,
-footers, sidebars, notices, adverts or comments go. Every paragraph gives points for its length and its commas to its
+A page becomes a tree; parts that are never text (scripts, styles, forms) go. So do parts that name themselves as menus, headers,
+footers, sidebars, notices, adverts or comments, but not one that wraps most of the page's text (``WRAPS``), and if less than ``LEFT`` of the text
+outside links is left, names only lower scores, unless a part is mostly links or a few words. Every paragraph gives points for its length and its commas to its
 ancestors, fewer with each level; an element's points are discounted by the share of its text that stands in links. The element with
-most points is the container. Siblings that have many points as well, headings and plain paragraphs beside it are kept.
+most points is the container. Siblings that have many points as well, headings and plain text beside it are kept.
 All text in what is kept stays, in page order.
 """
 
@@ -41,6 +42,11 @@ NAMES = frozenset(
 )
 KEEP = frozenset("html body article main".split())
 LEVELS = 5
+#: A name of several words ("content-with-sidebar") or of one ("sidebar") does not remove a part with more than this share of the text.
+WRAPS = (0.5, 0.9)
+#: With less of the text left, names of several words remove nothing more; with less than the second, no names do.
+LEFT = (0.75, 0.1)
+LOWER = 0.25
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -49,27 +55,33 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "gone", "score", "text_len", "link_len", "commas", "start", "end")
+    __slots__ = ("tag", "parent", "children", "gone", "named", "low", "score", "text_len", "link_len", "commas", "start", "end")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
+        self.named, self.low = 0, False
         self.gone, self.score, self.text_len, self.link_len, self.commas, self.start, self.end = False, 0.0, 0, 0, 0, 0, 0
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is never text, and whether it is named as none: 2 by a class or id of one word, 1 by a word among others, or 0."""
     if tag in GONE or (tag == "header" and not in_article):
-        return True
+        return True, 0
     if not attrs or tag in KEEP:
-        return False
+        return False, 0
+    named = 0
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if any(w.lower() in NAMES for w in _WORDS.findall(value)) and not (in_article and tag in HEADINGS):
-                return True
+            if not (in_article and tag in HEADINGS):
+                for x in value.split():
+                    words = _WORDS.findall(x)
+                    if any(w.lower() in NAMES for w in words):
+                        named = max(named, 2 if len(words) == 1 else 1)
         elif (name == "role" and value.lower() in ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
-    return False
+            return True, 0
+    return False, named
 
 
 def tree(html: str) -> Node:
@@ -128,7 +140,8 @@ def tree(html: str) -> Node:
             if last is not None and x is not None:
                 node = last.parent
         new = Node(tag, node)
-        new.gone = node.gone or _boilerplate(tag, attrs, articles > 0)
+        new.gone, new.named = _boilerplate(tag, attrs, articles > 0)
+        new.gone = new.gone or node.gone
         node.children.append(new)
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(html, at)
@@ -168,7 +181,50 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def blocks(kept: list[Node]) -> list[str]:
+def _headed(top: Node) -> bool:
+    stack = [top]
+    while stack:
+        x = stack.pop()
+        if x.tag in HEADINGS:
+            return True
+        stack.extend(c for c in x.children if isinstance(c, Node) and not c.gone)
+    return False
+
+
+def _drop_named(root: Node, order: list[Node]) -> None:
+    """Mark what goes by its name, and what has its scores lowered. Lengths are of the tree with all named parts."""
+    total = root.text_len - root.link_len
+    plain = lambda x: x.text_len - x.link_len
+    for least in (1, 2, 3):  # names of several words or of one; of one; none
+        gone, low, left, stack = [], [], total, [(root, False)]
+        while stack:
+            x, lowered = stack.pop()
+            if x.named and plain(x) <= WRAPS[x.named - 1] * total:
+                few = x.link_len >= 0.5 * x.text_len or (x.text_len < 25 and not _headed(x))
+                if few or x.named >= least:
+                    gone.append(x)
+                    left -= plain(x)
+                    continue
+                lowered = True
+            if lowered:
+                low.append(x)
+            stack.extend((c, lowered) for c in x.children if isinstance(c, Node) and not c.gone)
+        if least == 3 or left >= LEFT[least - 1] * total:
+            break
+    for x in low:
+        x.low = True
+    for x in gone:
+        stack = [x]
+        while stack:
+            y = stack.pop()
+            y.gone = True
+            stack.extend(c for c in y.children if isinstance(c, Node))
+    if gone:
+        for x in order:
+            x.text_len = x.link_len = x.commas = 0
+
+
+def blocks(kept: list[Node | str]) -> list[str]:
     """The blocks' texts of the kept elements: white space becomes one space; empty blocks are none."""
     out, now = [], []
 
@@ -203,6 +259,9 @@ def main_text(html: str | None) -> str:
         return ""
     root = tree(html)
     order = _measure(root)
+    _drop_named(root, order)
+    if any(x.gone for x in order):
+        order = _measure(root)
     scored = []
     for node in order:
         if node.tag in PARAGRAPHS or (node.tag in ("div", "section", "article", "main", "center") and not any(isinstance(c, Node) and c.tag in BLOCK and c.tag != "br" and not c.gone for c in node.children)):
@@ -211,6 +270,8 @@ def main_text(html: str | None) -> str:
             points = 1 + node.commas + min(node.text_len / 100, 3)
             if node.text_len < 25:
                 points *= node.text_len / 25
+            if node.low:
+                points *= LOWER
             up, level = node.parent, 1
             while up is not None and level <= LEVELS:
                 if not up.score:
@@ -232,11 +293,16 @@ def main_text(html: str | None) -> str:
     if best.parent is None or best.tag in ("html", "body"):
         return " ".join(blocks([best]))
     need, kept = max(10.0, 0.2 * final.get(id(best), 0.0)), []
+    alone = best.tag in ("article", "main")
     for c in best.parent.children:
-        if not isinstance(c, Node) or c.gone:
+        if isinstance(c, str):
+            if not alone and c.strip():
+                kept.append(c)
+            continue
+        if c.gone:
             continue
         density = c.link_len / max(1, c.text_len)
-        if c is best or final.get(id(c), 0.0) >= need or (c.tag in HEADINGS and best.tag not in ("article", "main")) or (c.tag in PARAGRAPHS and density < 0.25 and c.text_len > 80):
+        if c is best or final.get(id(c), 0.0) >= need or (c.tag in HEADINGS and not alone) or (c.tag in PARAGRAPHS and density < 0.25 and (c.text_len > 80 or not alone)) or (not alone and (not c.low or best.named) and c.tag not in HEADINGS and density < 0.25 and (c.tag not in BLOCK or id(c) in final)):
             kept.append(c)
     return " ".join(blocks(kept))
 

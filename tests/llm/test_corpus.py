@@ -359,6 +359,24 @@ def test_html(page, text):
     assert html.main_text(page) == text
 
 
+ARTICLE = "<p>The first paragraph, of some length, says what happened, and where.</p><p>The second one, which is longer, says when and why it did, in some detail.</p>"
+BODY = "The first paragraph, of some length, says what happened, and where. The second one, which is longer, says when and why it did, in some detail."
+MENU = "<div class='menu'><a href=/>Home</a> <a href=/b>Things to buy</a></div>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    *[(f"<body>{MENU}<div class='{c}'>{ARTICLE}</div></body>", BODY) for c in ("elementor-widget", "post no-sidebar", "content-with-sidebar", "has-sidebar", "entry form-post", "widget")],
+    # every paragraph in a part of its own
+    ("<body>" + MENU + "".join(f"<div class='elementor-element elementor-widget'>{p}</p></div>" for p in ARTICLE.split("</p>")[:-1]) + "</body>", BODY),
+    (f"<body class='has-sidebar'><div id='sidebar'>{MENU}<p>Other news, of today.</p></div><div class='content-with-sidebar'>{ARTICLE}</div><div class='site-footer'>All rights, of course, reserved here.</div></body>", BODY),
+    (f"<div class='content-with-sidebar'>{ARTICLE}<ol class='comments-area'>" + "".join(f"<li class='comment'>Comment {i}, which is, as ever, long, but no part of it.</li>" for i in range(3)) + "</ol></div>", BODY),
+    # short text beside the container
+    (f"<body>A line before.<div>{ARTICLE}</div><p>Short.</p><div><p>The end, then.</p></div></body>", f"A line before. {BODY} Short. The end, then."),
+])
+def test_html_names(page, text):
+    assert html.main_text(page) == text
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 1), (None, None, None, 2)], "page_id long, url string, html string, n_chars int")
     assert sorted(r["n_chars"] for r in html.extract(rows).collect()) == [0, 1, 1] and html.extract(rows.limit(0)).count() == 0
