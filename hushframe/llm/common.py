@@ -164,9 +164,14 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return some(False).union(some(True).join(bad, F.col(id_col).eqNullSafe(F.col("_hf_bad")), "left_anti"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row, ``_hf_row``; written, so that the keys stay."""
+    return stored(docs.withColumn("_hf_row", F.monotonically_increasing_id()), "rows")
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["BITS", "bit_place", "bit_table", "bits_at", "components", "cut", "drop_path", "new_path", "parts", "shared_dir", "stored", "tidy", "with_rank", "without"]
+__all__ = ["BITS", "bit_place", "bit_table", "bits_at", "components", "cut", "drop_path", "keyed", "new_path", "parts", "shared_dir", "stored", "tidy", "with_rank", "without"]

@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, without
+from .common import cut, keyed, stored, without
 from .tokens import ALNUM, LOWER, buffers, hashes, slices, words
 
 WINDOW = 10
@@ -338,6 +338,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go; rows of one id go together."""
-    marked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    return without(docs, marked.select("doc_id"))
+    """Pipeline stage: contaminated rows go, whatever their ids."""
+    rows = keyed(docs)
+    marked = decontaminate(rows.select(F.col("_hf_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    return without(rows, marked.select("doc_id"), "_hf_row").drop("_hf_row")

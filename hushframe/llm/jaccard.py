@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_place, bit_table, bits_at, components, cut, parts, stored, without
+from .common import bit_place, bit_table, bits_at, components, cut, keyed, parts, stored, without
 from .tokens import LOWER, NON_SPACE, buffers, hashes, mix, shingles, slices, words
 
 SIZE = 4
@@ -390,9 +390,14 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id stays, and those that link with nothing."""
-    found = join(docs)
-    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    """Pipeline stage: of each group one row stays, that of the smallest id (a null one comes last), and those that link with nothing.
+
+    Rows go by themselves: one that shares its id with a row that goes stays, and of repeated rows one stays."""
+    rows = keyed(docs)
+    found = join(rows.select(F.col("_hf_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    named = found.join(rows.select("_hf_row", "doc_id"), F.col("row") == F.col("_hf_row")).select("row", "component_id", "doc_id")
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("_hf_row"))
+    return without(rows, named.select("row").join(stays, F.col("row") == F.col("_hf_row"), "left_anti"), "_hf_row").drop("_hf_row")
 
 
 ORACLE_SQL = r"""

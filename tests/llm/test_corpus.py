@@ -506,3 +506,16 @@ def test_neardup_finds_pairs_that_no_cluster_holds(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 64 * 200)
     again = neardup.near_duplicates(table).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows.values()))
+
+
+def test_stages_remove_rows_not_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    text = " ".join(f"word{i}" for i in range(40))
+    clean = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    schema = "doc_id long, text string"
+    rows = [(None, text), (None, clean[0]), (7, text), (7, clean[1]), (9, clean[2]), (9, clean[2]), (None, None)]
+    left = jaccard.stage(spark, spark.createDataFrame(rows, schema).repartition(3), SF).collect()
+    assert sorted(map(tuple, left), key=repr) == sorted([(7, text), (None, clean[0]), (7, clean[1]), (9, clean[2]), (None, None)], key=repr)
+    rows = [(None, item), (None, clean[0]), (7, f"{clean[2]} {item}"), (7, clean[1]), (None, None)]
+    left = decontam.stage(spark, spark.createDataFrame(rows, schema).repartition(3), SF).collect()
+    assert sorted(map(tuple, left), key=repr) == sorted([(None, clean[0]), (7, clean[1]), (None, None)], key=repr)
