@@ -110,6 +110,35 @@ def markers(text: str, strict: bool = True) -> list[Match]:
     return out
 
 
+def open_from(text: str, table: str = DEFAULT_TABLE) -> int:
+    """Where the first match begins that more text could complete or lengthen, within its pattern's own maximum; else the text's length.
+    URIs and tokens without a maximum have none."""
+    n = first = len(text)
+    _, automaton, rows = _automata(table)
+    for start, token, i in _hits(automaton, text):
+        v = rows[i]
+        if start < first and v.max_len and n - token < v.max_len and _RUNS[v.charset].match(text, token).end() == n:
+            first = start
+    at = text.find("eyJ", max(0, n - JWT_CAP))
+    while 0 <= at < first:
+        if _JWT.match(text, at + 3).end() == n:
+            first = at
+        at = text.find("eyJ", at + 3)
+    at = text.find("-----BEGIN ")
+    while 0 <= at < first:
+        for _, label, _, far in MARKERS:
+            if text.startswith(f"-----BEGIN {label}-----", at):
+                last = f"-----END {label}-----"
+                rest = text[at : at + far]
+                end = rest.find(last)
+                # its END may still come, or the line end after it
+                if len(rest.encode("utf-8", "surrogatepass")) < far and (end < 0 or at + end + len(last) == n):
+                    first = at
+                break
+        at = text.find("-----BEGIN ", at + 1)
+    return first
+
+
 def uris(text: str) -> list[Match]:
     if "://" not in text:
         return []

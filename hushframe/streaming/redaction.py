@@ -2,8 +2,9 @@
 
 A stream is a sequence of chunks (stream_id, chunk_seq, data, is_eof). The state of a stream is the raw text not yet sent on, the
 chunks that came before their turn, and counters. Of what is held, everything is sent but the last ``look_ahead`` characters, or less where a match
-reaches into them, so secrets that chunks cut are found if they are not longer; the end of the stream sends the rest. A match is counted once, with its place in the
-whole stream."""
+reaches into them or one that is open may go on up to its pattern's own maximum (a block without its END marker, a JWT, a token), so secrets that chunks cut are
+found. URIs and tokens without a maximum are kept whole up to eight times the look-ahead. The end of the stream sends the rest. A match is counted
+once, with its place in the whole stream."""
 
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState
 from ..functions import kernel
 
 LOOK_AHEAD = 512
+#: Detectors whose matches have a maximum length.
+BOUNDED = ("simple", "jwt", "marker")
 OUT = "stream_id long, out_seq long, redacted string, bytes_read long, bytes_written long, chunks_processed long, patterns_found long, done boolean"
 STATE = "state string"
 
@@ -46,9 +49,10 @@ class Stream:
         if upto <= 0:
             return ""
         found = kernel.detect(self.held)
-        for start, end, *_ in found:  # a match that may go on is kept whole
+        upto = min(upto, kernel.open_from(self.held))
+        for start, end, _, detector, _ in found:  # a match that may go on is kept whole
             if start < upto < end:
-                upto = start if end - start <= 8 * self.look_ahead else end
+                upto = start if detector in BOUNDED or end - start <= 8 * self.look_ahead else end
         return self._send(upto, [m for m in found if m[1] <= upto])
 
     def finish(self) -> str:
