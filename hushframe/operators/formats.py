@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalog import COMMON_VARIABLES, SECRET_KEYWORDS
-from .detect import redact
+from .detect import redact_each
 
 SAMPLE = 512
 
@@ -47,8 +47,22 @@ def split_line(line: Column) -> Column:
     )
 
 
-def redact_env(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, redacted): every line's value redacted by itself, key and separator kept, lines joined again."""
-    rows = df.select(F.col(id_col), F.posexplode(lines(F.col(text_col))).alias("pos", "line")).select(id_col, "pos", split_line(F.col("line")).alias("s")).select(id_col, "pos", "s.key", "s.separator", F.col("s.value").alias("value"))
-    done = redact(rows, "value", "clean").withColumn("out", F.concat(F.coalesce("key", F.lit("")), F.coalesce("separator", F.lit("")), F.col("clean"), F.lit("\n")))
-    return done.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("redacted"))
+def _redacted(df: DataFrame, text_col: str, out_col: str, by_line: Column) -> DataFrame:
+    """Texts redacted as lists of what is scanned by itself: the values of their lines, or the text as a whole."""
+    given = df.withColumn("_hf_parts", F.when(by_line, F.transform(lines(F.col(text_col)), split_line)))
+    given = given.withColumn("_hf_values", F.when(by_line, F.transform("_hf_parts", lambda s: s["value"])).otherwise(F.array(F.col(text_col))))
+    done = redact_each(given, "_hf_values", "_hf_clean")
+    line = lambda s, v: F.concat(F.coalesce(s["key"], F.lit("")), F.coalesce(s["separator"], F.lit("")), v, F.lit("\n"))
+    out = F.when(by_line, F.array_join(F.zip_with("_hf_parts", "_hf_clean", line), "")).otherwise(F.get("_hf_clean", F.lit(0)))
+    return done.withColumn(out_col, out).drop("_hf_parts", "_hf_values", "_hf_clean")
+
+
+def redact_env(df: DataFrame, text_col: str = "text", out_col: str = "redacted") -> DataFrame:
+    """Add the text with every line's value redacted by itself: key and separator stay, each line gets a line end. Every row stays a row; null stays
+    null and an empty text has no line."""
+    return _redacted(df, text_col, out_col, F.lit(True))
+
+
+def redact_auto(df: DataFrame, text_col: str = "text", out_col: str = "redacted") -> DataFrame:
+    """Add ``format`` and the text redacted as that: environment files line by line, all else as one text."""
+    return _redacted(df.withColumn("format", format_of(F.col(text_col))), text_col, out_col, F.col("format") == "env")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,73 @@ def dechunk(body: Column) -> Column:
     return F.aggregate(turns, state, step, lambda s: F.array_join(F.transform(s["out"], lambda x: x.cast("string")), ""))
 
 
+def body_of(all_: Column, body: Column) -> Column:
+    """The body cut to its content-length in bytes; whole without one, null if fewer bytes came."""
+    n = content_length(all_).cast("int")
+    return F.when(n.isNull(), body).when(F.octet_length(body) >= n, F.substring(body.cast("binary"), F.lit(1), n).cast("string"))
+
+
+def rechunk(body: Column, size: int = 65_536) -> Column:
+    """A body in chunked transfer coding, ``size`` bytes a chunk."""
+    raw = body.cast("binary")
+    n = F.octet_length(raw)
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    line = lambda i: F.encode(F.concat(F.lower(F.hex(F.least(F.lit(size), n - i + 1))), F.lit("\r\n")), "utf-8")
+    end = F.encode(F.lit("\r\n"), "utf-8")
+    whole = F.aggregate(starts, F.encode(F.lit(""), "utf-8"), lambda out, i: F.concat(out, line(i), F.substring(raw, i, F.lit(size)), end))
+    return F.concat(whole, F.encode(F.lit("0\r\n\r\n"), "utf-8")).cast("string")
+
+
+def all_text(first_line: Column, all_: Column, body: Column) -> Column:
+    """A message's line, headers and body as one text to scan."""
+    return F.concat_ws("\n", first_line, F.array_join(F.transform(all_, lambda h: F.concat(h["k"], F.lit(": "), h["v"])), "\n"), body)
+
+
+def parse_request(raw: Column) -> Column:
+    """struct(method, path, version, headers, body) of a whole request; the body is cut to its content-length or decoded from chunks."""
+    return _parsed(raw, request_line)
+
+
+def parse_response(raw: Column) -> Column:
+    """struct(version, status, reason, headers, body) of a whole response."""
+    return _parsed(raw, response_line)
+
+
+def _parsed(raw: Column, line: Callable[[Column], Column]) -> Column:
+    first = F.substring_index(raw, "\r\n", 1)
+    rest = F.substring(raw, F.length(first) + 3, F.length(raw))
+    all_ = headers(rest)
+    gap = F.instr(raw, "\r\n\r\n")
+    came = F.when(gap > 0, F.substring(raw, gap + 4, F.length(raw))).otherwise("")
+    body = F.when(is_chunked(all_) & content_length(all_).isNull(), dechunk(came)).otherwise(body_of(all_, came))
+    return F.struct(line(first).alias("line"), all_.alias("headers"), body.alias("body"))
+
+
+def upstream(url: Column) -> Column:
+    """struct(scheme, host, port, base) of a fixed upstream; null for another scheme than http and https, no host, or a port that is none."""
+    scheme = F.regexp_extract(url, "(?s)^(.*?)://", 1)
+    rest = F.regexp_extract(url, "(?s)^.*?://(.*)$", 1)
+    at = F.substring_index(rest, "/", 1)
+    named = at.rlike("^.+:[^:]*$")
+    host = F.when(named, F.regexp_extract(at, "^(.+):[^:]*$", 1)).otherwise(at)
+    port = F.when(named, F.regexp_extract(at, "^.+:([^:]*)$", 1).try_cast("int")).when(scheme == "http", 80).otherwise(443)
+    base = F.regexp_replace(F.substring(rest, F.length(at) + 1, F.length(rest)), "/+$", "")
+    ok = scheme.isin("http", "https") & (host != "") & port.between(0, 65535)
+    return F.when(ok, F.struct(scheme.alias("scheme"), host.alias("host"), port.alias("port"), F.when(base == "", "/").otherwise(base).alias("base")))
+
+
+def authority(at: Column) -> Column:
+    return F.concat(at["host"], F.lit(":"), at["port"])
+
+
+def upstream_line(line: Column, at: Column) -> Column:
+    """A request line with its target below the upstream's base path; absolute targets stay; null for a line of fewer than three words."""
+    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    target = F.get(words, F.lit(1))
+    joined = F.when(target.startswith("http://") | target.startswith("https://") | (at["base"] == "/"), target).when(target == "/", at["base"]).otherwise(F.concat(at["base"], target))
+    return F.when(F.size(words) >= 3, F.concat_ws(" ", F.get(words, F.lit(0)), joined, F.get(words, F.lit(2))))
+
+
 def is_absolute(location: Column) -> Column:
     return location.contains("://")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +50,24 @@ def is_placeholder(value: Column) -> Column:
     return value.contains(PLACEHOLDER_MARK)
 
 
-def substitute(text: Column, pairs: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """(text with every first replaced by its second, number of replacements). ``pairs`` is a driver-side list of secrets, so of the size of
-    a configuration; longer strings are replaced first."""
-    out, n = text, F.lit(0)
-    for old, new in sorted(pairs, key=lambda p: (-len(p[0]), p[0])):
-        n = n + ((F.length(out) - F.length(F.replace(out, F.lit(old), F.lit("")))) / len(old)).cast("int")
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return out, n
+def substitute(text: Column, pairs: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
+    """(text with every first replaced by its second, number of replacements), in one pass from the left; of strings that begin at one place the
+    longest counts, and what was put in is not looked at again. ``pairs`` is a driver-side list, so of the size of a configuration."""
+    known = {old: new for old, new in pairs if old}
+    if not known:
+        return text, F.when(text.isNotNull(), F.lit(0))
+    pattern = "|".join(re.sub(r"([^A-Za-z0-9_])", r"\\\1", old) for old in sorted(known, key=lambda x: (-len(x), x)))
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    out = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, x: F.concat(g, F.element_at(table, x))), ""), F.element_at(gaps, -1))
+    return out, F.size(found)
+
+
+def substitute_tracked(text: Column, tracker: Column) -> tuple[Column, Column]:
+    """(text with the tracker's keys, secrets, replaced by their values, placeholders; number of secrets that were there). Longer ones go first."""
+    entries = F.reverse(F.array_sort(F.transform(F.map_entries(tracker), lambda e: F.struct(F.length(e["key"]).alias("n"), e["key"].alias("key"), e["value"].alias("value")))))
+    out = F.aggregate(entries, text, lambda t, e: F.replace(t, e["key"], e["value"]))
+    return F.coalesce(out, text), F.coalesce(F.size(F.filter(F.map_keys(tracker), lambda k: text.contains(k))), F.lit(0))
 
 
 def substitute_by_host(messages: DataFrame, pairs: DataFrame, text_col: str, out_col: str) -> DataFrame:
@@ -83,3 +96,16 @@ def render(placeholders: DataFrame, accept_json: bool = False) -> DataFrame:
     rows = placeholders.agg(F.array_sort(F.collect_list(F.struct("name", "placeholder"))).alias("p"))
     text = F.concat(F.array_join(F.transform("p", lambda x: F.concat(x["name"], F.lit("="), x["placeholder"])), "\n"), F.lit("\n"))
     return rows.select((F.to_json(F.map_from_entries("p")) if accept_json else text).alias("body"))
+
+
+def discovery(requests: DataFrame, placeholders: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """Adds ``status`` and ``answer`` for requests to the discovery endpoint: 400 for a line of fewer than two words, 405 for another method than
+    GET, 404 for another path than /placeholders..., else 200 with the list, as JSON where an Accept header asks for it. ``placeholders`` is a
+    configuration's (name, placeholder), one row of text when rendered."""
+    raw = F.regexp_replace(F.col(raw_col), "\r", "")
+    words = F.filter(F.split(F.substring_index(raw, "\n", 1), r"\s+"), lambda w: w != "")
+    accepts = F.exists(F.split(raw, "\n"), lambda x: F.lower(x).startswith("accept:") & F.lower(x).contains("application/json"))
+    text, json = (render(placeholders, j).select(F.col("body").alias(n)) for j, n in ((False, "_hf_text"), (True, "_hf_json")))
+    status = F.when(F.size(words) < 2, 400).when(F.get(words, F.lit(0)) != "GET", 405).when(~F.get(words, F.lit(1)).startswith("/placeholders"), 404).otherwise(200)
+    both = requests.withColumns({"status": status, "_hf_accepts": accepts}).crossJoin(F.broadcast(text)).crossJoin(F.broadcast(json))  # one row each
+    return both.withColumn("answer", F.when(F.col("status") == 200, F.when(F.col("_hf_accepts"), F.col("_hf_json")).otherwise(F.col("_hf_text")))).drop("_hf_accepts", "_hf_text", "_hf_json")

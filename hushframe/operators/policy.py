@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .select import simple_glob
+from .select import glob, simple_glob
 
 HOP_BY_HOP = ("connection", "transfer-encoding", "upgrade", "te", "trailer", "proxy-authenticate", "proxy-authorization")
 #: The default rules. Fixed values.
@@ -63,3 +64,14 @@ def counts_by_action(resolved: DataFrame, *keys: str) -> DataFrame:
 def should(mode: Column) -> tuple[Column, Column]:
     """(detect, redact) of a mode: passthrough, detect-only or redact."""
     return mode.isin("detect-only", "redact"), mode == "redact"
+
+
+def path_rule(path: Column, rules: Sequence[tuple[str, bool]], default: bool = True) -> Column:
+    """Whether a path is redacted: as the first rule (glob with *, redact) says that fits, else the default. A rule needs a path."""
+    if any(not glob_ for glob_, _ in rules):
+        raise ValueError("a path rule has no path")
+    out = None
+    for pattern, redacted in rules:
+        test = glob(path, pattern, question=False)
+        out = F.when(test, redacted) if out is None else out.when(test, redacted)
+    return F.lit(default) if out is None else out.otherwise(default)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.catalog import MARKERS
+
 TIER_NAMES = ("CRITICAL", "API_KEYS", "INFRASTRUCTURE", "SERVICES", "PATTERNS")
 TYPES = {"fast": "fast", "fastprefix": "fast", "structured": "structured", "structuredformat": "structured", "regex": "regex", "regexbased": "regex"}
 
@@ -80,7 +84,7 @@ class Selector:
         if self.kind in ("patterns", "wildcard"):
             return _any([glob(name, v) for v in self.values])
         if self.kind == "tags" and tags is not None:
-            return _any([F.exists(tags, lambda t, v=v: t.startswith(v[:-1]) if v.endswith("*") else t == v) for v in self.values])
+            return _any([F.exists(tags, lambda t: t.rlike(glob_regex(v, question=False)) if v.endswith("*") else t == v) for v in self.values])  # noqa: B023 - called at once
         return F.lit(False)
 
     def matches_tier(self, tier: Column) -> Column:
@@ -90,10 +94,39 @@ class Selector:
         return tier.isin(*self.values) if self.kind == "tiers" else F.lit(True)
 
 
+    def tiers(self) -> tuple[str, ...]:
+        """The tiers of which matches pass."""
+        return () if self.kind == "none" else tuple(t for t in TIER_NAMES if t in self.values) if self.kind == "tiers" else TIER_NAMES
+
+    def describe(self) -> str:
+        """The selector in words."""
+        listed = ", ".join(self.values)
+        return {"all": "all", "none": "none", "wildcard": f"wildcard {listed}", "regex": f"regex {listed}"}.get(self.kind, f"{self.kind} {listed}")
+
+
+ALL = Selector("all")
 #: What is detected and redacted unless said otherwise.
 DEFAULT = Selector("tiers", ("CRITICAL", "API_KEYS"))
 
 
+def resolve(flag: str | None = None, env: Mapping[str, str] | None = None, variable: str = "DETECT_PATTERNS", default: str = "ALL") -> Selector:
+    """The selector of a flag, else of a variable of the environment, else the default. One that cannot be read is an error, never another selector."""
+    env = os.environ if env is None else env
+    spec = flag if flag is not None else env.get(variable, default)
+    try:
+        return Selector.parse(spec)
+    except ValueError as wrong:
+        raise ValueError(f"{variable}: {wrong}; tiers are {', '.join(TIER_NAMES)}, others patterns:<globs>, wildcard:<glob>, regex:<pattern>") from wrong
+
+
+def resolve_names(names: DataFrame, globs: list[str], col: str = "name") -> DataFrame:
+    """(name, place): the different names that globs select, each at the first glob that fits, then in the table's own order (column ``place``)."""
+    fits = F.array(*[F.when(glob(F.col(col), g), i) for i, g in enumerate(globs)]) if globs else F.array().cast("array<int>")
+    first = F.array_min(F.array_compact(fits))
+    found = names.select(F.col(col).alias("name"), F.col("place").alias("own"), first.alias("first")).where("first IS NOT NULL")
+    return found.groupBy("name").agg(F.min(F.struct("first", "own")).alias("place"))
+
+
 @dataclass(frozen=True)
 class Composite:
     """Included and excluded filters: ``CRITICAL,aws-*,!aws-asia``. Exclusions come first; without an inclusion it is an error."""
@@ -136,6 +169,66 @@ class KeepFilter:
         return KeepFilter(tuple(dict.fromkeys(self.redact + other.redact)), tuple(dict.fromkeys(self.keep + other.keep)))
 
 
+#: Severities with their scores, from the worst; kinds of services; kinds of patterns. Fixed values.
+SEVERITIES = (("CRITICAL", 95), ("HIGH", 85), ("MEDIUM", 65), ("LOW", 40), ("GENERIC", 30))
+CATEGORIES = ("CloudProvider", "PaymentProcessor", "CodeHost", "Database", "Messaging", "Infrastructure", "Authentication", "Monitoring", "Development", "AI", "Other")
+KINDS = ("FixedPrefix", "StructuredFormat", "RegexBased")
+
+
+def severity(spec: Column) -> Column:
+    """struct(name, score, redacted by default) of a severity's name, in any case, or its score; null for others."""
+    out = None
+    for name, score in SEVERITIES:
+        test = F.upper(F.trim(spec)).isin(name, str(score))
+        value = F.struct(F.lit(name).alias("name"), F.lit(score).alias("score"), F.lit(score >= 85).alias("redacted"))
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return out
+
+
+def _member(spec: Column, names: Sequence[str]) -> Column:
+    out = None
+    for name in names:
+        test = F.replace(F.lower(F.trim(spec)), F.lit("-"), F.lit("")) == name.lower()
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out
+
+
+def category(spec: Column) -> Column:
+    """The service category of a name in any case, with or without hyphens; null for others."""
+    return _member(spec, CATEGORIES)
+
+
+def pattern_kind(spec: Column) -> Column:
+    """The pattern kind of a name, in the same way."""
+    return _member(spec, KINDS)
+
+
+def parsed_list(spec: Column, one: Callable[[Column], Column]) -> Column:
+    """Every part of a comma-separated list by ``severity``, ``category`` or ``pattern_kind``; null as a whole if any part is none."""
+    found = F.transform(F.split(spec, ","), one)
+    return F.when(F.forall(found, lambda x: x.isNotNull()), found)
+
+
+def marker_candidates(text: Column, at: Column, fuzzy: bool = False) -> Column:
+    """Places in the catalog of the block markers that may begin at a place (from 0) of a text: those whose first 16 characters stand there, or with
+    ``fuzzy``, if there are none, those of the first marker by name whose first 8 do. Null if fewer than 8 characters are left."""
+    starts = [f"-----BEGIN {label}-----" for _, label, _, _ in MARKERS]
+    heads: dict[str, list[int]] = {}
+    for i, s in enumerate(starts):
+        heads.setdefault(s[:16], []).append(i)
+    here, short = F.substring(text, at + 1, F.lit(16)), F.substring(text, at + 1, F.lit(8))
+    out = None
+    for test, key in [(here == h, h) for h in heads] + ([(short == h[:8], min(k for k in heads if k[:8] == h[:8])) for h in heads] if fuzzy else []):
+        value = F.array(*[F.lit(i) for i in heads[key]])
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return F.when(F.length(text) - at >= 8, out)
+
+
+def first_prefix(text: Column, prefix: str) -> Column:
+    """The first place of a prefix, from 0; 0 for an empty one, null if there is none."""
+    return F.lit(0) if not prefix else F.nullif(F.instr(text, prefix) - 1, F.lit(-1))
+
+
 def should_redact(name: Column, mode: str, names: tuple[str, ...] = ()) -> Column:
     """Exact-name selection: all, none, whitelist or blacklist."""
     return {"all": F.lit(True), "none": F.lit(False), "whitelist": name.isin(*names), "blacklist": ~name.isin(*names)}[mode]

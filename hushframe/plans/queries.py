@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detect as D
-from ..operators import formats, http, placeholders, policy
+from ..operators import exchange, formats, http, placeholders, policy
 from ..operators import select as S
 from ..sources import catalog as C
+from ..sources import texts
 from ..streaming import redaction
 from .corpora import secret_sql, seeded, seeded_sql
 
@@ -129,11 +130,15 @@ def length_preserved(spark: SparkSession, sf: str) -> DataFrame:
     return D.redact(seeded(spark, sf).select("doc_id", "text")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("redacted").cast("long")).alias("bytes"))
 
 
+CLEAN = ("AKIA", "ASIA", "ABIA", "ACCA", "ghp_", "ghu_", "ghs_", "sk-", "eyJ", "://", "-----BEGIN ")
+
+
 @query("SELECT doc_id, CAST(0 AS INT) AS n_simple, strlen(text) AS bytes FROM documents WHERE NOT regexp_matches(text, '(AKIA|ASIA|ABIA|ACCA|gh[pus]_|sk-|eyJ|://|-----BEGIN )')")
 def negative_control(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("NOT text RLIKE '(AKIA|ASIA|ABIA|ACCA|gh[pus]_|sk-|eyJ|://|-----BEGIN )'").select("doc_id", "text")
-    found = D.matches(docs, detector="simple").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_simple"), F.octet_length("text").cast("long").alias("bytes"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for x in CLEAN:
+        docs = docs.where(~F.col("text").contains(x))
+    return D.counts(docs, out_col="n_simple", detector="simple").select("doc_id", "n_simple", F.octet_length("text").cast("long").alias("bytes"))
 
 
 @query()
@@ -144,8 +149,8 @@ def detect_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def redact_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with html and url redacted; n_matches counts both."""
-    pages = D.redact(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html"), "html", gated=False).withColumnRenamed("n_matches", "n_html")
-    done = D.redact(pages.drop("html"), "url", "redacted_url", gated=False)
+    pages = D.redact(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html"), "html").withColumnRenamed("n_matches", "n_html")
+    done = D.redact(pages.drop("html"), "url", "redacted_url")
     return done.select("page_id", "redacted", "redacted_url", (F.col("n_html") + F.col("n_matches")).alias("n_matches"))
 
 
@@ -180,7 +185,7 @@ FROM (SELECT c_custkey AS k FROM customer) a""".replace("'note: AKIA'", "'note:A
 def env_lines(spark: SparkSession, sf: str) -> DataFrame:
     key = "'AKIA' || upper(substr(md5(CAST(k AS string)), 1, 16))"
     rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS k").selectExpr("k", f"CASE WHEN k % 4 = 0 THEN ' aws = ' || {key} WHEN k % 4 = 1 THEN 'note: ' || {key} WHEN k % 4 = 2 THEN {key} ELSE 'EMPTY=' END || chr(10) || 'x=' || k AS text")
-    return formats.redact_env(rows, "k")
+    return formats.redact_env(rows).select("k", "redacted")
 
 
 def _values(rows: list[tuple]) -> str:
@@ -250,10 +255,11 @@ def placeholder_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _roundtrip(secrets: DataFrame) -> DataFrame:
+    """Each placeholder put into a message, replaced there by its own host's secret, and put back."""
     pairs = placeholders.generate(secrets, SEED)
-    text = F.concat(F.lit("Authorization: "), F.col("placeholder"))
-    sent = pairs.select("name", "value", "placeholder", F.replace(text, F.col("placeholder"), F.col("value")).alias("sent"))
-    back = sent.withColumn("back", F.replace("sent", F.col("value"), F.col("placeholder")))
+    messages = pairs.select("name", "value", "placeholder", F.col("name").alias("host"), F.concat(F.lit("Authorization: "), F.col("placeholder")).alias("text"))
+    sent = placeholders.substitute_by_host(messages, pairs.select(F.col("name").alias("host"), "placeholder", "value"), "text", "sent")
+    back = sent.withColumn("back", placeholders.substitute_tracked(F.col("sent"), F.create_map("value", "placeholder"))[0])
     return back.select("name", F.substring("sent", F.lit(16), F.length("sent")).alias("restored"), (~F.col("back").contains(F.col("value")) & placeholders.is_placeholder(F.col("back"))).alias("hidden"))
 
 
@@ -397,3 +403,218 @@ def stream_stats(spark: SparkSession, sf: str) -> DataFrame:
 def conversation_streams(spark: SparkSession, sf: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("chunk_seq"), F.col("text").alias("data"))
     return redaction.redact_chunks(turns)
+
+
+# what is reported and what is redacted, selected apart
+
+TOLD = f"""t AS (SELECT doc_id, string_agg(tier || '=' || cnt, ',' ORDER BY tier) AS warnings FROM (SELECT doc_id, {TIER} AS tier, count(*) AS cnt FROM ({FOUND}) f GROUP BY ALL) g WHERE tier IN ('INFRASTRUCTURE', 'SERVICES', 'PATTERNS') GROUP BY doc_id)"""
+ENGINE = D.Engine(S.Selector.parse("tier:infrastructure,services,patterns"), S.Selector.parse("CRITICAL"))
+
+
+@query(ORACLES["redact_critical"].replace("WITH r AS", f"WITH {TOLD},\nr AS").replace("AS n_matches FROM", "AS n_matches, coalesce(t.warnings, '') AS warnings FROM") + " LEFT JOIN t USING (doc_id)")
+def detect_and_redact(spark: SparkSession, sf: str) -> DataFrame:
+    found = ENGINE.detect_and_redact(seeded(spark, sf).select("doc_id", "text"))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("warnings")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return found.select("doc_id", "redacted", "n_matches", told.alias("warnings"))
+
+
+@query(f"SELECT doc_id, {TIER} AS tier, count(*) AS cnt FROM ({FOUND}) f WHERE pattern_type >= 200 GROUP BY ALL")
+def detect_only(spark: SparkSession, sf: str) -> DataFrame:
+    return ENGINE.detect_only(seeded(spark, sf).select("doc_id", "text"), "doc_id")
+
+
+@query("SELECT 'Detect: tiers INFRASTRUCTURE, SERVICES, PATTERNS, Redact: tiers CRITICAL' AS described")
+def describe_engine(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(ENGINE.describe(),)], "described string")
+
+
+@query(f"SELECT count(*) AS n_rows, sum(strlen(text)) AS bytes_read, sum(strlen(text)) AS bytes_written, (SELECT count(*) FROM ({FOUND}) f) AS patterns_found FROM ({DOCS}) d")
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return texts.summary(D.redact(seeded(spark, sf).select("doc_id", "text")))
+
+
+#: Placeholders stand in for these; none has both marks of a detector's prefix and a token, so only the redaction itself changes them.
+@query(f"SELECT doc_id, list_contains([9], kind) AS held FROM ({DOCS}) d")
+def placeholders_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose only match holds the placeholder mark: found, but not when placeholders are skipped."""
+    docs = seeded(spark, sf).select("doc_id", "text")
+    every, kept = (D.matches(docs, skip_placeholders=skip).groupBy("doc_id").agg(F.count(F.lit(1)).alias(n)) for skip, n in ((False, "n"), (True, "m")))
+    return docs.join(every, "doc_id", "left").join(kept, "doc_id", "left").select("doc_id", (F.col("n").isNotNull() & F.col("m").isNull()).alias("held"))
+
+
+AUTO = f"""CASE k % 3 WHEN 0 THEN 'API_KEY = AKIA' || upper(substr(md5(CAST(k AS {{str}})), 1, 16)) || chr(10) || 'PATH=/bin' WHEN 1 THEN 'a note on AKIA' || upper(substr(md5(CAST(k AS {{str}})), 1, 16)) || chr(10) || 'end' ELSE '' END"""
+
+
+@query(f"""SELECT k, CASE k % 3 WHEN 0 THEN 'env' ELSE 'text' END AS format, CASE k % 3 WHEN 0 THEN 'API_KEY=AKIA' || repeat('x', 16) || chr(10) || 'PATH=/bin' || chr(10) WHEN 1 THEN 'a note on AKIA' || repeat('x', 16) || chr(10) || 'end' ELSE '' END AS redacted
+FROM (SELECT c_custkey AS k FROM customer) a""")
+def redact_auto(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS k").selectExpr("k", AUTO.format(str="string") + " AS text")
+    return formats.redact_auto(rows).select("k", "format", "redacted")
+
+
+@query("SELECT k, CASE k % 4 WHEN 0 THEN 'binary' WHEN 1 THEN 'binary' ELSE 'text' END AS format FROM (SELECT c_custkey AS k FROM customer) a")
+def binary_format(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k"), F.expr("CASE c_custkey % 4 WHEN 0 THEN 'a' || chr(0) || 'b' WHEN 1 THEN repeat(chr(1), 4) || 'abc' WHEN 2 THEN 'plain words' ELSE 'one' || chr(1) || ' in many' END").alias("text"))
+    return rows.select("k", formats.format_of(F.col("text")).alias("format"))
+
+
+# catalog and selectors
+
+
+@query("SELECT type, n FROM (VALUES ('fast', 380), ('structured', 1), ('regex', 24)) t(type, n)")
+def list_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return S.by_type(C.catalog(spark)).select("type", "n")
+
+
+@query("SELECT * FROM (VALUES ('CRITICAL', 95, TRUE), ('HIGH', 85, TRUE), ('MEDIUM', 65, FALSE), ('LOW', 40, FALSE), ('GENERIC', 30, FALSE), (NULL, NULL, NULL)) t(name, score, redacted)")
+def severities(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([("critical",), (" 85 ",), ("Medium",), ("40",), ("GENERIC",), ("worst",)], "spec string")
+    return rows.select(S.severity(F.col("spec")).alias("s")).select("s.name", "s.score", "s.redacted")
+
+
+@query("SELECT * FROM (VALUES ('cloud-provider,AI', 'CloudProvider|AI'), ('code-host', 'CodeHost'), ('database,nothing', NULL)) t(spec, found)")
+def category_lists(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([("cloud-provider,AI",), ("code-host",), ("database,nothing",)], "spec string")
+    return rows.select("spec", F.array_join(S.parsed_list(F.col("spec"), S.category), "|").alias("found"))
+
+
+@query("SELECT * FROM (VALUES ('all', 'all', ''), ('flag', 'tiers', 'CRITICAL'), ('env', 'tiers', 'SERVICES'), ('globs', 'patterns', 'aws-*'), ('tags', 'tags', 'cloud*'), ('wild', 'wildcard', 'git*')) t(given, kind, chosen)")
+def selector_precedence(spark: SparkSession, sf: str) -> DataFrame:
+    env = {"DETECT_PATTERNS": "services"}
+    found = {"all": S.resolve(env={}), "flag": S.resolve("critical", env), "env": S.resolve(env=env), "globs": S.resolve("patterns:aws-*"), "tags": S.resolve("tags:cloud*"), "wild": S.resolve("wildcard:git*")}
+    return spark.createDataFrame([(k, v.kind, ",".join(v.values)) for k, v in found.items()], "given string, kind string, chosen string")
+
+
+@query("SELECT * FROM (VALUES ('aws-akia', 0, 14), ('aws-asia', 0, 15), ('aws-abia', 0, 16), ('aws-acca', 0, 17), ('github-ghp', 1, 18), ('github-ghu', 1, 19), ('github-ghs', 1, 20)) t(name, first, own)")
+def resolve_pattern_names(spark: SparkSession, sf: str) -> DataFrame:
+    rows = C.catalog(spark).where("kind = 'simple'").withColumn("place", F.col("pattern_type"))
+    return S.resolve_names(rows, ["aws-*", "github-gh?", "aws-akia"]).select("name", "place.first", "place.own")
+
+
+@query("SELECT * FROM (VALUES ('-----BEGIN RSA PRIVATE KEY-----', '0'), ('-----BEGIN PGP MESSAGE-----', '10'), ('-----BEGIN CERTIFICATE', '4,5'), ('-----BEGIN other thing', ''), ('short', NULL)) t(text, candidates)")
+def marker_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([("-----BEGIN RSA PRIVATE KEY-----",), ("-----BEGIN PGP MESSAGE-----",), ("-----BEGIN CERTIFICATE",), ("-----BEGIN other thing",), ("short",)], "text string")
+    found = S.marker_candidates(F.col("text"), F.lit(0))
+    return rows.select("text", F.when(F.length("text") >= 8, F.coalesce(F.array_join(found, ","), F.lit(""))).alias("candidates"))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN instr(c_name, '#') > 0 THEN CAST(instr(c_name, '#') - 1 AS INT) END AS at, 0 AS empty FROM customer")
+def find_first_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k"), S.first_prefix(F.col("c_name"), "#").alias("at"), S.first_prefix(F.col("c_name"), "").alias("empty"))
+
+
+# policies and exchanges
+
+PLACE = [("ph-one-1234", "secretvalue1"), ("ph-two-5678", "secretvalue2")]
+POLICY = exchange.Policy(
+    exchange.HostPolicy((("Authorization", "replace"), ("X-Debug", "detect"), ("X-*", "passthrough"), ("*", "redact"))),
+    {"api.github.com": exchange.HostPolicy((("*", "passthrough"),), "passthrough", "detect"), "*.openai.com": exchange.HostPolicy((), "detect", "passthrough")}, tuple(PLACE),
+)
+KEY = "'AKIA' || upper(substr(md5(CAST(k AS {str})), 1, 16))"
+
+
+def _exchanges(spark: SparkSession, sf: str) -> DataFrame:
+    key = KEY.format(str="string")
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS k").selectExpr("k", f"{HOSTS} AS host", f"{key} AS key")
+    head = "array(struct('Authorization' AS k, 'Bearer ph-one-1234' AS v), struct('X-Debug' AS k, key AS v), struct('X-Id' AS k, key AS v), struct('Cookie' AS k, 'c=' || key AS v))"
+    return rows.selectExpr("k", "host", f"{head} AS headers", "'use ph-two-5678 and ' || key AS body")
+
+
+@query(f"""SELECT k, CASE WHEN k % 4 = 1 THEN 'Bearer ph-one-1234' ELSE 'Bearer secretvalue1' END AS auth, {KEY.format(str="varchar")} AS debug, {KEY.format(str="varchar")} AS id,
+CASE WHEN k % 4 = 1 THEN 'c=' || {KEY.format(str="varchar")} ELSE 'c=AKIA' || repeat('x', 16) END AS cookie, 4 AS headers_processed, CASE WHEN k % 4 = 1 THEN 0 ELSE 1 END AS placeholders_replaced,
+CASE WHEN k % 4 = 1 THEN 0 ELSE 1 END AS secrets_redacted, CASE WHEN k % 4 = 1 THEN 0 ELSE 1 END AS secrets_detected, CASE WHEN k % 4 = 1 THEN '' ELSE 'header:X-Debug/CRITICAL/detected|header:Cookie/CRITICAL/redacted' END AS events FROM ({MESSAGES}) m""")
+def process_headers_by_policy(spark: SparkSession, sf: str) -> DataFrame:
+    done = exchange.process_headers(_exchanges(spark, sf), POLICY)
+    v = lambda name: http.header(F.col("headers"), name)
+    events = F.array_join(F.transform("events", lambda e: F.concat_ws("/", e["location"], e["name"], e["action"])), "|")
+    return done.select("k", v("Authorization").alias("auth"), v("X-Debug").alias("debug"), v("X-Id").alias("id"), v("Cookie").alias("cookie"), "headers_processed", "placeholders_replaced", "secrets_redacted", "secrets_detected", events.alias("events"))
+
+
+@query(f"""SELECT k, CASE WHEN k % 4 IN (0, 1) THEN 'use ph-two-5678 and ' || {KEY.format(str="varchar")} ELSE 'use ph-two-5678 and AKIA' || repeat('x', 16) END AS body, 40 AS bytes_processed,
+CASE WHEN k % 4 IN (0, 1) THEN 0 ELSE 1 END AS secrets_redacted, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS secrets_detected FROM ({MESSAGES}) m""")
+def process_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return exchange.process_body(_exchanges(spark, sf), POLICY).select("k", "body", "bytes_processed", "secrets_redacted", "secrets_detected")
+
+
+@query(f"""SELECT k, CASE WHEN k % 4 = 1 THEN 'use ph-two-5678 and ' ELSE 'use secretvalue2 and ' END || {KEY.format(str="varchar")} AS sent, CASE WHEN k % 4 = 1 THEN 0 ELSE 1 END AS replaced, CASE WHEN k % 4 = 1 THEN 'got secretvalue2' ELSE 'got ph-two-5678' END AS got,
+CASE WHEN k % 4 = 1 THEN 0 ELSE 1 END AS restored, CASE WHEN k % 4 <> 1 THEN '15' END AS length FROM ({MESSAGES}) m""")
+def exchanges(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _exchanges(spark, sf).withColumnsRenamed({"headers": "request_headers", "body": "request_body"}).selectExpr("*", "200 AS status", "array(struct('Server' AS k, 's' AS v)) AS response_headers", "'got secretvalue2' AS response_body")
+    done = exchange.handle(rows, POLICY)
+    return done.select("k", F.col("request_body").alias("sent"), "replaced", F.col("response_body").alias("got"), "restored", http.header(F.col("response_headers"), "content-length").alias("length"))
+
+
+@query(f"""SELECT k, CASE k % 3 WHEN 0 THEN 'key AKIA' || repeat('x', 16) WHEN 1 THEN 'key AK' END AS body, 'http://proxy:9999/p' AS location, 'X-Key,Location,Connection,X-Redacted' AS names, 'AKIA' || repeat('x', 16) AS x_key, CASE k % 3 WHEN 0 THEN 2 ELSE 1 END AS patterns_found
+FROM (SELECT c_custkey AS k FROM customer) a""")
+def stream_responses(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS k").selectExpr("k", f"{KEY.format(str='string')} AS key")
+    way = F.expr("element_at(array(struct('Transfer-Encoding' AS k, 'chunked' AS v), struct('Content-Length' AS k, '6' AS v), struct('Content-Length' AS k, '0' AS v)), CAST(k % 3 AS INT) + 1)")
+    head = F.array(F.expr("struct('X-Key' AS k, key AS v)"), way, F.expr("struct('Location' AS k, 'https://up.example:443/p' AS v)"))
+    body = F.when(F.col("k") % 3 == 0, http.rechunk(F.concat(F.lit("key "), F.col("key")), 7)).otherwise(F.concat(F.lit("key "), F.col("key")))
+    rows = rows.select("k", F.when(F.col("k") % 3 == 2, 204).otherwise(200).alias("status"), head.alias("headers"), body.alias("body"))
+    done = exchange.stream_responses(rows, upstream="up.example", proxy="proxy:9999")
+    v = lambda name: http.header(F.col("headers"), name)
+    return done.select("k", "body", v("location").alias("location"), F.array_join(F.transform("headers", lambda h: h["k"]), ",").alias("names"), v("x-key").alias("x_key"), "patterns_found")
+
+
+@query("""SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 400 WHEN 1 THEN 405 WHEN 2 THEN 404 ELSE 200 END AS status, CASE WHEN c_custkey % 4 = 3 THEN CASE WHEN c_custkey % 8 = 3 THEN 'A=p1' || chr(10) || 'B=p2' || chr(10) ELSE '{"A":"p1","B":"p2"}' END END AS answer FROM customer""")
+def discovery(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.expr("CASE k % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST /placeholders HTTP/1.1' WHEN 2 THEN 'GET /other HTTP/1.1' ELSE 'GET /placeholders HTTP/1.1' END || CASE WHEN k % 8 = 7 THEN '\r\nAccept: application/json' ELSE '' END || '\r\n\r\n'")
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS k").withColumn("raw", raw)
+    known = spark.createDataFrame([("B", "p2"), ("A", "p1")], "name string, placeholder string")
+    return placeholders.discovery(rows, known).select("k", "status", "answer")
+
+
+@query("SELECT c_custkey AS k, '/api/v' || c_custkey % 3 || '/x' AS path, c_custkey % 3 <> 1 AS redacted FROM customer")
+def path_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS k", "'/api/v' || c_custkey % 3 || '/x' AS path")
+    return rows.select("k", "path", policy.path_rule(F.col("path"), [("/api/v1/*", False), ("/api/*", True)]).alias("redacted"))
+
+
+@query("""SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'h' || c_custkey || ':8443' WHEN 1 THEN 'h' || c_custkey || ':80' END AS authority, CASE c_custkey % 3 WHEN 0 THEN 'GET /base/p HTTP/1.1' WHEN 1 THEN 'GET /p HTTP/1.1' END AS line FROM customer""")
+def fixed_upstream(spark: SparkSession, sf: str) -> DataFrame:
+    url = F.expr("CASE k % 3 WHEN 0 THEN 'https://h' || k || ':8443/base/' WHEN 1 THEN 'http://h' || k ELSE 'ftp://h' END")
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS k").withColumn("at", http.upstream(url))
+    return rows.select("k", http.authority(F.col("at")).alias("authority"), F.when(F.col("at").isNotNull(), http.upstream_line(F.lit("GET /p HTTP/1.1"), F.col("at"))).alias("line"))
+
+
+@query("SELECT c_custkey AS k, 200 AS status, 'OK then' AS reason, 'hel' AS body, 'HTTP/1.1 200 OK then' || chr(10) || 'Content-Length: 3' || chr(10) || 'hel' AS scanned FROM customer")
+def parse_responses(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit("HTTP/1.1 200 OK then\r\nContent-Length: 3\r\n\r\nhello"), F.col("k"))
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k")).withColumn("r", http.parse_response(raw))
+    line = F.concat_ws(" ", "r.line.version", "r.line.status", "r.line.reason")
+    return rows.select("k", "r.line.status", "r.line.reason", "r.body", http.all_text(line, F.col("r.headers"), F.col("r.body")).alias("scanned"))
+
+
+# streams
+
+
+@query(f"""SELECT doc_id AS stream_id, pattern_type, start, "end" FROM ({FOUND}) f""")
+def detect_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return redaction.detect_chunks(_chunks(spark, sf)).select("stream_id", "pattern_type", "start", "end")
+
+
+LONG = "'-----BEGIN RSA PRIVATE KEY-----' || chr(10) || repeat(upper({md5}) || chr(10), 50) || '-----END RSA PRIVATE KEY-----' || chr(10)"
+
+
+@query(f"SELECT k AS stream_id, 'a ' || repeat('x', strlen(key)) || 'b' AS redacted, 1 AS patterns_found FROM (SELECT k, {LONG.format(md5='md5(CAST(k AS varchar))')} AS key FROM (SELECT c_custkey AS k FROM customer) a) b")
+def chunk_redaction_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of 1.7 kB in chunks of 256 characters."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS k").selectExpr("k", f"'a ' || {LONG.format(md5='md5(CAST(k AS string))')} || 'b' AS text")
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / 256).cast("int") - 1), lambda i: F.substring("text", i * 256 + 1, F.lit(256)))
+    return redaction.redact_chunks(rows.select(F.col("k").alias("stream_id"), F.posexplode(cut).alias("chunk_seq", "data"))).select("stream_id", "redacted", "patterns_found")
+
+
+@query("SELECT c_custkey AS stream_id, 'use secretvalue1 for ' || c_name || ' and secretvalue2' AS redacted, 2 AS patterns_found FROM customer")
+def substitute_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS k", "'use ph-one-1234 for ' || c_name || ' and ph-two-5678' AS text")
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / 7).cast("int") - 1), lambda i: F.substring("text", i * 7 + 1, F.lit(7)))
+    return redaction.substitute_chunks(rows.select(F.col("k").alias("stream_id"), F.posexplode(cut).alias("chunk_seq", "data")), dict(PLACE)).select("stream_id", "redacted", "patterns_found")
+
+
+@query("SELECT c_custkey AS k, 'key AKIA' || repeat('x', 16) || ' end' AS body FROM customer")
+def redact_chunked_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies in chunked transfer coding, decoded and redacted as a whole, so that keys which chunks cut are found."""
+    text = F.concat(F.lit("key "), F.expr(KEY.format(str="string")), F.lit(" end"))
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k")).withColumn("raw", http.rechunk(text, 9))
+    return D.redact(rows.withColumn("raw", http.dechunk(F.col("raw"))), "raw", "body").select("k", "body")
