@@ -116,20 +116,57 @@ def test_pii_base(spark, odd):
     assert [r["text"] for r in pii.sanitise(odd).collect()].count(None) == 2 and pii.sanitise(odd).columns == odd.columns
 
 
+SECRET = re.compile(r"""(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY|[Aa]ccess_?[Kk]ey|ACCESS_?KEY)["']? ?[=:] ?["']?[A-Za-z0-9_/+.=-]{16,}""")
+
+
+def sanitisation(rows):
+    """All spans of (id, text) rows by plain counting: entities, then terms by what they reveal of their document's record."""
+    entities, terms = {}, {}
+    for i, t in rows:
+        spans = [s.split(":") for s in base_spans(t) if s] + [["secret", m.start(), m.end()] for m in SECRET.finditer(t)]
+        spans = [(k, int(a), int(b)) for k, a, b in spans]
+        value = lambda k, x: x.lower() if k == "email" else x if k in ("ip", "secret") else re.sub("[^0-9]", "", x)
+        entities[i] = (spans, frozenset((k, value(k, t[a:b])) for k, a, b in spans))
+        terms[i] = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t)]
+    n = len(rows)
+    df_t = collections.Counter(w for i in terms for w in {x[0] for x in terms[i]})
+    df_r = collections.Counter(r for _, r in entities.values() if r)
+    co = collections.Counter((r, w) for i, (_, r) in entities.items() if r for w in {x[0] for x in terms[i]})
+    out = {}
+    for i, (spans, r) in entities.items():
+        found = [(a, ["email", "ip", "card", "phone", "secret"].index(k), f"{k}:{a}:{b}") for k, a, b in spans]
+        for w, a, b in terms[i] if r else ():
+            ic = math.log2(n / df_r[r])
+            unknown, most = math.log2((df_t[w] + 1) / co[r, w]), min(0.25 * ic, max(1, 0.1 * ic))
+            if ic > 0 and unknown <= most and not any(x < b and y > a for _, x, y in spans):
+                found.append((a, 6, f"remove:{a}:{b}") if unknown <= 0.6 * most else (a, 5, f"generalise:{a}:{b}"))
+        out[i] = ",".join(x[2] for x in sorted(found))
+    return out
+
+
 def test_pii_terms(spark):
     draw = random.Random(2)
     word = lambda: "w" + "".join(draw.choice("abcdefgh") for _ in range(3))
     line = lambda n: " ".join(word() for _ in range(n))
     rows = [(i, line(40) + (" . Zorblax lives at a@b.example quietly . " if i < 5 else " . ") + line(40)) for i in range(200)]
-    rows += [(1000 + i, "Copied Quux c@d.example") for i in range(20)]  # one context, however often
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
-    for i in range(5):
-        at = rows[i][1].index("Zorblax")
-        assert f"remove:{at}:{at + 7}" in found[i].split(",")
-    assert all("remove" not in found[i] and "generalise" not in found[i] for i, _ in rows[5:])
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
-    assert "Zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[1000] == "Copied Quux [EMAIL]" and clean[7] == rows[7][1]
+    rows += [(300, line(60) + " Only Qwixel here, +1 (663) 555-6869. " + line(9)), (301, f'{line(9)} token = "{"ab12" * 10}" of Mumblo'), (302, "Mumblo " + line(30)), (303, f"Zorblax {line(20)} a@b.example 10.1.2.3")]
+    rows += [(1000 + i, "Copied Quux c@d.example") for i in range(20)]
+    there = sanitisation(rows)
+    found = {r["doc_id"]: (r["spans"], r["n_spans"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == {i: (x, len(x.split(",")) if x else 0) for i, x in there.items()}
+    for i, name, kind in [*((i, "Zorblax", "generalise|remove") for i in range(5)), (300, "Qwixel", "generalise"), (1000, "Quux", "remove")]:
+        at = dict(rows)[i].index(name)
+        assert re.search(f"(?:{kind}):{at}:{at + len(name)}(?:,|$)", found[i][0])
+    assert all(not found[i][0] for i, t in rows if 5 <= i < 300 or i == 302)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[7] == rows[7][1] and "[SECRET]" in clean[301]
+    assert clean[1000] == "  [EMAIL]" and "[TERM]" in clean[300]
+
+
+def test_pii_adds_spans_to_given_tables(spark):
+    found = pii.op1_pii(spark, "/root/testdata/sf0.01")
+    assert found.where("spans LIKE '%generalise:%'").count() > 20 and found.where("spans LIKE '%remove:%'").count() > 0
+    assert found.where("n_spans > 0 AND n_email + n_ip + n_card + n_phone = 0 AND NOT spans LIKE '%secret:%'").count() == 0
 
 
 # 2 vectors
