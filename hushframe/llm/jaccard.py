@@ -33,10 +33,13 @@ PERCENT = 85
 SKETCH = 512
 #: Members of a signature that one task compares; more are dealt into blocks, and pairs of blocks are compared.
 GROUP = 2000
+#: A node's smallest open signatures that go with it, by which a pair that meets in several of them comes out of the smallest.
+OWNERS = 16
 #: Signatures that a task holds to join equal ones before the shuffle; it bounds memory, not results.
-HELD = 1_500_000
+HELD = 800_000
 _U = np.uint64
 _I64 = np.int64
+_LAST = (1 << 63) - 1
 
 
 def sets(texts: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +180,7 @@ def star_edges(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
 
         n = 0
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text"):
                 text, h = sets(batch.column("text"), size)
                 node, count = node_ids(text, h, batch.num_rows)
                 # equal sets once: the first of this slice that earlier slices did not have
@@ -255,16 +258,22 @@ def _possible(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _cross(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of members (sig, node, part, n, sketch) of one signature in different parts that sizes and sketches do not exclude.
+def _cross(who: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members (sig, node, part) of one signature in different parts that sizes and sketches do not exclude.
 
-    Members of a signature are compared in one task without making rows of pairs; only what may be similar comes out."""
-    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP).select(F.col("sig").alias("large"), F.ceil(F.col("size") / GROUP).cast("int").alias("k"))
+    Members of a signature are compared in one task without making rows of pairs; only what may be similar comes out. Similar sets share
+    many signatures. Each member knows its ``OWNERS`` smallest ones; a pair that is seen to share a smaller signature than the
+    present one is left to that one, so it comes out of one signature or few."""
+    spark = who.sparkSession
+    low = who.groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("all")).select("node", F.slice(F.concat("all", F.array_repeat(F.lit(_LAST), OWNERS)), 1, OWNERS).alias("low"))
+    about = low.join(sized.select(F.col("node").alias("nd"), "n", "sketch"), F.col("node") == F.col("nd")).drop("nd")
+    members = who.join(about, "node")
+    sizes = who.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP).select(F.col("sig").alias("large"), F.ceil(F.col("size") / GROUP).cast("int").alias("k"))
     dealt = members.join(sizes, F.col("sig") == F.col("large"), "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "n", "sketch")
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "n", "sketch", "low")
 
-    def pairs(group: tuple[np.ndarray, ...]) -> np.ndarray:
-        i, j, block, node, part, n, sketch = group
+    def pairs(sig: int, group: tuple[np.ndarray, ...]) -> np.ndarray:
+        i, j, block, node, part, n, sketch, low = group
         out = []
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         for x in left:
@@ -273,6 +282,7 @@ def _cross(members: DataFrame, percent: int) -> DataFrame:
                 y = y[y > x]
             if len(y):
                 y = y[may_be_similar(sketch[x][None], sketch[y], n[x] + n[y], percent)]
+                y = y[~np.isin(low[y], low[x][low[x] < sig]).any(1)]
                 out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
         return np.concatenate(out) if out else np.zeros((0, 2), _I64)
 
@@ -282,7 +292,7 @@ def _cross(members: DataFrame, percent: int) -> DataFrame:
 
         def end() -> None:
             if held and sum(len(x[0]) for x in held) > 1:
-                found.append(pairs(tuple(np.concatenate(c) for c in zip(*held, strict=True))))
+                found.append(pairs(key[0], tuple(np.concatenate(c) for c in zip(*held, strict=True))))
             held.clear()
 
         for batch in batches:
@@ -290,6 +300,7 @@ def _cross(members: DataFrame, percent: int) -> DataFrame:
                 continue
             sig, *rest = (batch.column(c).to_numpy() for c in ("sig", "i", "j", "block", "node", "part", "n"))
             rest.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
+            rest.append(batch.column("low").flatten().to_numpy().reshape(-1, OWNERS))
             new = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1])]))
             for lo, hi in zip(new, [*new[1:], len(sig)], strict=True):
                 now = (sig[lo], rest[0][lo], rest[1][lo])
@@ -303,7 +314,7 @@ def _cross(members: DataFrame, percent: int) -> DataFrame:
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), _I64)
         yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
-    dealt = rows.repartition(parts(members.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    dealt = rows.repartition(parts(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -335,7 +346,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sized: DataFrame, size: int, pe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text_a", 2 << 20):
+            for batch in slices(whole, "text_a", 1 << 20):
                 n = batch.num_rows
                 (ta, ha), (tb, hb) = (sets(batch.column(c), size) for c in ("text_a", "text_b"))
                 t, h = np.concatenate([ta, tb]), np.concatenate([ha, hb])
@@ -371,8 +382,8 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     # signatures whose stars hold several components: every two members of different components
     open_ = cut(labelled(edges, "a", "b").where("of_a <> of_b").select("sig").distinct())
     held = edges.join(open_, "sig")
-    members = labelled(held.select("sig", F.col("a").alias("x")).union(held.select("sig", "b")).distinct(), "x").join(sized.select(F.col("node").alias("x"), "n", "sketch"), "x").select("sig", F.col("x").alias("node"), F.col("of_x").alias("part"), "n", "sketch")
-    rest = cut(_cross(members, percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    who = cut(labelled(held.select("sig", F.col("a").alias("x")).union(held.select("sig", "b")).distinct(), "x").select("sig", F.col("x").alias("node"), F.col("of_x").alias("part")))
+    rest = cut(_cross(who, sized, percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = cut(_verified(rest, docs, sized, size, percent))
         if not more.isEmpty():

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -131,8 +132,24 @@ def shingles(word: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray
     return h, text
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about ``most`` bytes of text, one row at least."""
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that gives freed memory back, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def release() -> None:
+    """Give what this worker has freed back to the machine: workers are kept between stages, and their freed memory with them."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``most`` bytes of text, one row at least. Memory is given back after each batch."""
     texts = batch.column(column).cast(pa.large_string())
     if len(texts) == 0:
         return
@@ -142,3 +159,4 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    release()
