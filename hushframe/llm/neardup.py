@@ -1,17 +1,19 @@
 """Near-duplicate vectors by a robust-pruned flat graph over overlapping cluster shards.
 
 1. Equal vectors are one class with a multiplicity. Classes go to the ``overlap`` nearest of some centroids, which are fitted on a
-   sample of ``SAMPLE`` vectors at most; every class is indexed. A cluster of more than ``cap`` classes is dealt into blocks by hash.
+   sample of ``SAMPLE`` vectors at most; every class is indexed. Centroids that could be links of each other are one, so that a dense group does not fall
+   apart. A cluster of more than ``cap`` classes is dealt into blocks by hash.
 2. Each block's nearest neighbours are pruned (a neighbour goes if a nearer one is, by the factor ALPHA, closer to it) and joined
    by reverse edges. The lists of a class's blocks are united into one flat graph.
-3. Every class is searched in its clusters, against each block: greedily with a beam from the medoids of the block's graph (one for
-   each part that no edge leaves) and, in its own block, from its own place too; then, once within range, through the
-   neighbours of everything within range.
-4. Links are verified as cosines in double precision. A link counts in the smallest cluster that both ends share, so nothing is
-   counted twice; a task sends on a number of links for each class and one edge to its component, never pairs.
-5. The recall is audited by comparing ``AUDIT`` classes, taken by hash whether links were found or not, with all others. While it
-   cannot be shown to reach ``least_recall``, the search is repeated with twice the overlap; once that costs as much as comparing
-   everything, all classes are compared with all. Up to ``EXACT`` classes they are from the start.
+3. A block's region is its members and, of the united graph, their neighbours elsewhere that are near enough to link with something a member
+   links with. Every class is searched in the regions of its clusters: greedily with a beam from the medoids of the region's graph (one for each part
+   that no edge leaves) and, in its own block, from its own place too; then, once within range, through the neighbours of everything
+   within range, also where they belong to other shards.
+4. Links are verified as cosines in double precision. A link counts for an end in the smallest region that the end asks and the other is in, so nothing
+   is counted twice; a task sends on a number of links for each class and one edge to its component, never pairs.
+5. The recall is audited by comparing ``AUDIT`` classes, taken by hash whether links were found or not, with all others. If too few of them have links
+   to tell, partners put at the threshold in random directions must share a cluster often enough. While ``least_recall`` is not reached, the search is
+   repeated with twice the overlap; once that costs as much as comparing everything, all classes are compared with all.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, stored
+from .tokens import release
 
 THRESHOLD = 0.9
-SAMPLE = 20_000
+SAMPLE = 100_000
 PER_SHARD = 1500
-MAX_SHARDS = 4096
+MAX_SHARDS = 20_000
 CAP = 6000
 NEIGHBOURS = 32
 DEGREE = 16
@@ -37,13 +40,14 @@ BEAM = 12
 AUDIT = 4096
 #: Audited classes with links that a figure needs.
 LEAST_LINKED = 100
-EXACT = 100_000
+#: Bits of a region's name for its block within the cluster.
+BLOCK_BITS = 24
 #: Numbers in a block of vectors that the exact comparison hands to every task.
 BLOCK = 1 << 22
 
 
-def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means of unit vectors, from evenly spaced rows of a hash-ordered sample."""
+def centroids(x: np.ndarray, k: int, rounds: int = 6, apart: float = THRESHOLD) -> np.ndarray:
+    """Spherical k-means of unit vectors, from evenly spaced rows of a hash-ordered sample; of middles with a cosine of ``apart`` or more one stays."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
         near = np.concatenate([np.argmax(x[i : i + 2000] @ c.T, 1) for i in range(0, len(x), 2000)])
@@ -51,7 +55,11 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
         np.add.at(sums, near, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c)
-    return c
+    kept = np.ones(k, bool)
+    for i in range(k):
+        if kept[i]:
+            kept[i + 1 :] &= c[i + 1 :] @ c[i] < apart
+    return c[kept]
 
 
 def flat_graph(x: np.ndarray, neighbours: int = NEIGHBOURS, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
@@ -196,58 +204,64 @@ def _graph(key: tuple, table: pa.Table) -> pa.Table:
     node = table.column("node").to_numpy()
     order = np.argsort(node, kind="stable")
     node, x = node[order], _matrix(table.column("v"))[order]
-    return pa.table({"node": pa.array(node), "near": pa.array([node[a] for a in flat_graph(x)], pa.list_(pa.int64()))})
+    lists = flat_graph(x)
+    out = pa.table({"node": pa.array(node), "near": pa.array([node[a] for a in lists], pa.list_(pa.int64())), "cosine": pa.array([x[a] @ x[i] for i, a in enumerate(lists)], pa.list_(pa.float64()))})
+    release()
+    return out
 
 
 def _search(threshold: float):  # noqa: ANN202
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        cluster = key[0].as_py()
-        table = table.sort_by("node")
-        node, mult = table.column("node").to_numpy(), table.column("n").to_numpy()
-        index, query = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("as_index", "as_query"))
-        x = _matrix(table.column("v"))
-        own = _lists(table.column("clusters"))
-        shared = np.full((len(node), max(map(len, own), default=1)), -1, np.int64)
-        for i, c in enumerate(own):
-            shared[i, : len(c)] = np.sort(c)
-        ix, qx = np.flatnonzero(index), np.flatnonzero(query)
-        if not len(ix) or not len(qx):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-        lists = _lists(table.column("near").take(pa.array(ix)))
-        width = max(map(len, lists), default=0)
-        adjacent = np.full((len(ix), width), -1, np.int64)
+        cluster, region = key[0].as_py(), key[0].as_py() << BLOCK_BITS | key[2].as_py()
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+        index = table.filter(table.column("as_index")).sort_by("node")
+        query = table.filter(table.column("as_query")).sort_by("node")
+        if not index.num_rows or not query.num_rows:
+            return none
+        node, asking = index.column("node").to_numpy(), query.column("node").to_numpy()
+        mult, x, q_x = index.column("n").to_numpy(), _matrix(index.column("v")), _matrix(query.column("v"))
+        lists = _lists(index.column("near"))
+        adjacent = np.full((len(node), max(map(len, lists), default=0)), -1, np.int64)
         for i, near in enumerate(lists):
-            at = np.searchsorted(node[ix], near)
-            at[at == len(ix)] = 0
-            here = at[node[ix][at] == near]
+            near = np.unique(near)
+            at = np.searchsorted(node, near)
+            at[at == len(node)] = 0
+            here = at[node[at] == near]
             adjacent[i, : len(here)] = here
-        starts = medoids(x[ix], adjacent)
-        place = np.searchsorted(ix, qx)
-        place[place == len(ix)] = 0
-        place = np.where(ix[place] == qx, place, -1)
-        found = np.zeros((len(qx), len(ix)), bool)  # within the cap: cap * cap bytes at most
-        for lo, sim in range_search(x[ix], adjacent, starts, x[qx], place, threshold):
+        # for each class of the region and each cluster that is asked here: the first region of that cluster which it is in
+        own = _lists(query.column("clusters"))
+        clusters = np.unique(np.concatenate(own))
+        asked = np.stack([np.resize(np.searchsorted(clusters, c), max(map(len, own))) for c in own])
+        first = np.full((len(node), len(clusters)), np.iinfo(np.int64).max)
+        present = _lists(index.column("present"))
+        who, regions = np.repeat(np.arange(len(node)), [len(r) for r in present]), np.concatenate(present)
+        at = np.searchsorted(clusters, regions >> BLOCK_BITS)
+        at[at == len(clusters)] = 0
+        known = clusters[at] == regions >> BLOCK_BITS
+        np.minimum.at(first, (who[known], at[known]), regions[known])
+        place = np.searchsorted(node, asking)
+        place[place == len(node)] = 0
+        place = np.where(node[place] == asking, place, -1)
+        found = np.zeros((len(asking), len(node)), bool)  # bounded by the cap and the edges that leave a block
+        for lo, sim in range_search(x, adjacent, medoids(x, adjacent), q_x, place, threshold):
             found[lo : lo + len(sim)] = sim >= threshold
-        if len(qx) == len(ix) and (qx == ix).all():
-            found |= found.T  # what either end finds is a link
-        links, best = np.zeros(len(node), np.int64), np.arange(len(node))
-        for lo in range(0, len(qx), 512):
-            qi, ni = np.nonzero(found[lo : lo + 512])
-            q, i = qx[lo + qi], ix[ni]
-            other = q != i
+        if (place >= 0).all():
+            found[:, place] |= found[:, place].T  # what either end finds is a link
+        links, best = np.zeros(len(asking), np.int64), np.arange(len(asking) + len(node))
+        for lo in range(0, len(asking), 512):
+            q, i = np.nonzero(found[lo : lo + 512])
+            q = q + lo
+            other = asking[q] != node[i]
             q, i = q[other], i[other]
-            # this cluster is the smallest that both are in
-            first = np.full(len(q), np.iinfo(np.int64).max)
-            for a in range(shared.shape[1]):
-                for b in range(shared.shape[1]):
-                    same = (shared[q, a] == shared[i, b]) & (shared[q, a] >= 0)
-                    first = np.where(same, np.minimum(first, shared[q, a]), first)
-            mine = first == cluster
-            np.add.at(links, q[mine], mult[i[mine]])
             if len(q):
-                best = _join(best, q, i)
-        out = np.flatnonzero((links > 0) | (best != np.arange(len(node))))
-        return pa.table({"a": pa.array(node[out]), "b": pa.array(node[best[out]]), "links": pa.array(links[out])})
+                mine = first[i[:, None], asked[q]].min(1) == region
+                np.add.at(links, q[mine], mult[i[mine]])
+                best = _join(best, q, len(asking) + i)
+        names = np.concatenate([asking, node])
+        out = np.flatnonzero(np.concatenate([links > 0, np.zeros(len(node), bool)]) | (best != np.arange(len(names))))
+        result = pa.table({"a": pa.array(names[out]), "b": pa.array(names[best[out]]), "links": pa.array(np.concatenate([links, np.zeros(len(node), np.int64)])[out])})
+        release()
+        return result
 
     return run
 
@@ -267,35 +281,58 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _links(classes: DataFrame, dim: int, n: int, overlap: int, threshold: float) -> DataFrame:
-    """(a, b, links) of the classes (node, v, n) by one build and search."""
+def sharing(x: np.ndarray, middle: np.ndarray, take: int, threshold: float) -> float:
+    """The share of vectors that have a cluster in common with a partner put at the threshold from them in a random direction."""
+    away = np.random.default_rng(1).normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    near = lambda v: np.sort(np.argpartition(-(v @ middle.T), take - 1, axis=1)[:, :take], axis=1)
+    a, b = near(x), near(threshold * x + np.sqrt(1 - threshold**2) * away)
+    return float((a[:, :, None] == b[:, None, :]).any((1, 2)).mean()) if len(x) else 1.0
+
+
+def _links(classes: DataFrame, dim: int, n: int, overlap: int, threshold: float) -> tuple[DataFrame, float]:
+    """(a, b, links) of the classes (node, v, n) by one build and search, and what share of partners at the threshold would share a cluster."""
     spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toPandas()["v"]
-    x = np.array(sample.tolist(), np.float64).reshape(-1, dim)
-    k = max(1, min(MAX_SHARDS, -(-n // PER_SHARD), len(x)))
-    middle = spark.sparkContext.broadcast(centroids(x, k))
-    take = min(overlap, k)
+    k = max(1, min(MAX_SHARDS, -(-n // PER_SHARD)))
+    sample = classes.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, max(20_000, 20 * k))).select("v").toArrow()
+    x = _matrix(sample.column("v"))
+    middle = centroids(x, min(k, len(x)), apart=threshold)
+    expected = sharing(x[:AUDIT], middle, min(overlap, len(middle)), threshold)
+    del sample, x
+    shared = spark.sparkContext.broadcast(middle)
+    take = min(overlap, len(middle))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s = -(_matrix(batch.column("v")) @ middle.value.T)
-                near = np.argpartition(s, take - 1, axis=1)[:, :take]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near.astype(np.int64)), pa.list_(pa.int64()))], names=[*batch.schema.names, "clusters"])
+                v = _matrix(batch.column("v"))
+                near = np.concatenate([np.argpartition(-(v[i : i + 1000] @ shared.value.T), take - 1, axis=1)[:, :take] for i in range(0, len(v), 1000)])
+                clusters = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, take, dtype=np.int32)), pa.array(near.ravel().astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, clusters], names=[*batch.schema.names, "clusters"])
 
     placed = stored(classes.mapInArrow(assign, "node long, v array<double>, n long, clusters array<long>"), "placed")
     each = placed.withColumn("cluster", F.explode("clusters"))
     sizes = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).select("cluster", F.ceil(F.col("size") / CAP).cast("int").alias("blocks"))
-    # at most MAX_SHARDS rows
-    dealt = each.join(F.broadcast(sizes), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    graph = dealt.select("cluster", "block", "node", "v").groupBy("cluster", "block").applyInArrow(_graph, "node long, near array<long>")
-    union = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    rows = dealt.join(union, "node")
+    sizes = F.broadcast(cut(sizes))  # at most MAX_SHARDS rows
+    dealt = each.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    graph = dealt.select("cluster", "block", "node", "v").groupBy("cluster", "block").applyInArrow(_graph, "node long, near array<long>, cosine array<double>")
+    edges = stored(graph, "graph")
+    # two links of one vector have at least this cosine
+    least = 2 * threshold**2 - 1
+    member = dealt.select("node", (F.shiftleft("cluster", BLOCK_BITS) + F.col("block")).alias("region"))
+    strong = edges.select(F.col("node").alias("of"), F.explode(F.arrays_zip("near", "cosine")).alias("e")).where(F.col("e.cosine") >= least).select("of", F.col("e.near").alias("node")).distinct()
+    beyond = member.withColumnRenamed("node", "of").join(strong, "of").select("node", "region").distinct().join(member, ["node", "region"], "left_anti")
+    beyond = cut(beyond)
+    about = member.union(beyond).groupBy("node").agg(F.collect_set("region").alias("present")).join(edges.groupBy("node").agg(F.flatten(F.collect_list("near")).alias("near")), "node")
+    kept = ["cluster", "node", "v", "n", "clusters", "near", "present"]
     turns = lambda c: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(c)
-    kept = ["cluster", "node", "v", "n", "clusters", "near"]
-    asking = rows.select(*kept, F.col("block").alias("i"), turns("j"), "block").select(*kept, "i", "j", (F.col("j") == F.col("block")).alias("as_index"), F.lit(True).alias("as_query"))
+    rows = dealt.join(about, "node")
+    asks = rows.select(*kept, F.col("block").alias("i"), turns("j"), "block").select(*kept, "i", "j", (F.col("j") == F.col("block")).alias("as_index"), F.lit(True).alias("as_query"))
     indexed = rows.where("blocks > 1").select(*kept, turns("i"), F.col("block").alias("j"), "block").where("i <> block").select(*kept, "i", "j", F.lit(True).alias("as_index"), F.lit(False).alias("as_query"))
-    return asking.union(indexed).groupBy("cluster", "i", "j").applyInArrow(_search(threshold), "a long, b long, links long")
+    outer = beyond.join(placed, "node").join(about, "node").withColumns({"cluster": F.shiftright("region", BLOCK_BITS), "j": F.col("region").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")}).join(sizes, "cluster")
+    outer = outer.select(*kept, turns("i"), "j", F.lit(True).alias("as_index"), F.lit(False).alias("as_query"))
+    return asks.union(indexed).union(outer).groupBy("cluster", "i", "j").applyInArrow(_search(threshold), "a long, b long, links long"), expected
 
 
 def _against(classes: DataFrame, block: pa.Table, threshold: float) -> DataFrame:
@@ -338,7 +375,8 @@ def _exact(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
 
 def audit(classes: DataFrame, found: DataFrame, threshold: float = THRESHOLD, n: int = AUDIT) -> tuple[float, int]:
     """(recall, classes with links) of ``n`` classes taken by hash, against all classes: the mean of the shares of their links that were
-    found, less two standard errors unless these are all classes."""
+    found, less two standard errors unless these are all classes. Links are verified, so a number of links that is not too high is of right ones; a
+    number that is too high is an error."""
     spark = classes.sparkSession
     chosen = classes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(n).select("node", "v").toArrow()
     if not chosen.num_rows:
@@ -359,29 +397,32 @@ def audit(classes: DataFrame, found: DataFrame, threshold: float = THRESHOLD, n:
         yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], names=["node", "links"])
 
     there = classes.select("node", "v", "n").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("there"))
-    share = F.least(F.coalesce("links", F.lit(0)), "there") / F.col("there")
-    r = there.join(found, "node", "left").agg(F.avg(share).alias("mean"), F.coalesce(F.stddev_pop(share), F.lit(0.0)).alias("sd"), F.count(F.lit(1)).alias("linked")).first()
+    share = F.coalesce("links", F.lit(0)) / F.col("there")
+    r = there.join(found, "node", "left").agg(F.avg(share).alias("mean"), F.coalesce(F.stddev_pop(share), F.lit(0.0)).alias("sd"), F.count(F.lit(1)).alias("linked"), F.max(share).alias("top")).first()
+    if r["linked"] and r["top"] > 1:
+        raise RuntimeError("a link was counted twice")
     if not r["linked"]:
         return 1.0, 0
     return r["mean"] - (2 * r["sd"] / r["linked"] ** 0.5 if chosen.num_rows == n else 0), r["linked"]
 
 
-def _all_links(classes: DataFrame, dim: int, n: int, overlap: int, threshold: float, least_recall: float, exact_up_to: int) -> DataFrame:
+def _all_links(classes: DataFrame, dim: int, n: int, overlap: int, threshold: float, least_recall: float) -> DataFrame:
     """(a, b, links) with the recall that is asked for."""
-    if n <= exact_up_to:
-        return _exact(classes, dim, n, threshold)
     while True:
-        found = cut(_links(classes, dim, n, overlap, threshold))
+        found, expected = _links(classes, dim, n, overlap, threshold)
+        found = cut(found)
         recall, linked = audit(classes, found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), threshold)
-        if recall >= least_recall and (linked >= LEAST_LINKED or n <= AUDIT):
+        if linked < LEAST_LINKED and n > AUDIT:
+            recall = min(recall, expected) if linked else expected
+        if recall >= least_recall:
             return found
         overlap *= 2
-        # more classes would not say more of few links; a graph compares some PER_SHARD vectors in each cluster, for lists and for the search
-        if linked < LEAST_LINKED or 4 * overlap * PER_SHARD >= n:
+        # a graph compares some PER_SHARD vectors in each cluster, for lists and for the search
+        if 4 * overlap * PER_SHARD >= n:
             return _exact(classes, dim, n, threshold)
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, overlap: int = 2, least_recall: float = 0.95, exact_up_to: int = EXACT) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, overlap: int = 2, least_recall: float = 0.95) -> DataFrame:
     """One row a vector: id, n_links, component_id, kept.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing. Vectors of different lengths are not
@@ -396,7 +437,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dims = [(r[0], r[1]) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()]
     for dim, n in sorted(dims):
         own = classes.where(F.size("v") == dim).select("node", "v", "n")
-        found = _all_links(own, dim, n, overlap, threshold, least_recall, exact_up_to)
+        found = _all_links(own, dim, n, overlap, threshold, least_recall)
         sums = cut(found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")))
         edges = found.select("a", "b") if edges is None else edges.union(found.select("a", "b"))
         links = sums if links is None else links.union(sums)
@@ -416,7 +457,7 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-#: All pairs, as the operator compares them up to ``EXACT`` classes.
+#: All pairs.
 ORACLE_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
