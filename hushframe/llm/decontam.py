@@ -6,10 +6,12 @@ of row has a segment's documents with their first word's number. Both go to one
 it needs no shuffle, as segments are indexed where they are read.
 
 Search. Every ten consecutive words of a benchmark item are a window (an item of fewer words is one window). Words' total counts
-come from the index. For each window the ``rarest`` words' postings are fetched first; in each segment these lists, each shifted by its
-word's place, are intersected from the rarest on. Only for segments and windows with anything left are the other words'
-postings fetched and intersected too, so a hit has all the window's words at their places. Items come to the driver and are
-searched in blocks of bounded size; the index is not.
+come from the index. The postings of each window's ``rarest`` words are fetched first. A segment looks at the windows whose rarest word it has, takes
+that word's places, shifted, as candidates, and keeps those at which the next rarer words stand too. Only for segments and windows with any left are
+the other words' postings fetched and looked up, so a hit has all the window's words at their places. So the cost goes with the places of rare words, not
+with the number of windows. Items come to the driver and are searched in blocks of bounded size; the index is not.
+
+Proximity. For an item's rarest words, wherever the rarest of them stands, the others are looked for within some words of it.
 
 Words: A-Z is lower-cased; words are runs of a-z, 0-9 and of anything that is not ASCII.
 """
@@ -31,9 +33,14 @@ from .tokens import ALNUM, LOWER, buffers, hashes, slices, words
 
 WINDOW = 10
 RAREST = 4
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: Characters of benchmark text that one pass over the index searches (one item at least).
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
+#: Candidates that a segment looks at together.
+TOGETHER = 1 << 20
+#: Words of an item that proximity looks for, and how far they may stand from the rarest.
+NEAR_WORDS = 3
+WITHIN = 10
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _I64 = np.int64
@@ -55,12 +62,77 @@ def pack_gaps(starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.n
     return out, np.append(ends[starts] - size[starts], len(out))
 
 
-def unpack_gaps(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
+def unpack_gaps(data: bytes | np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The numbers of one packed list, or of several one after another, with their lengths."""
+    raw = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+    if not len(raw):
+        return np.zeros(0, _I64)
     last = np.flatnonzero(raw < 128)
     first = np.concatenate([[0], last[:-1] + 1])
     place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    return np.cumsum(np.add.reduceat((raw & 127).astype(_I64) << (7 * place), first)) if len(raw) else np.zeros(0, _I64)
+    gaps = np.add.reduceat((raw & 127).astype(_I64) << (7 * place), first)
+    run = np.cumsum(gaps)
+    if sizes is None:
+        return run
+    begin = np.cumsum(sizes) - sizes
+    return run - np.repeat(run[begin] - gaps[begin], sizes)
+
+
+class Lists:
+    """A segment's postings of some words, for looking up many places at once."""
+
+    def __init__(self, table: pa.Table) -> None:
+        table = table.filter(pa.compute.is_valid(table.column("word"))).combine_chunks()
+        word, size = table.column("word").to_numpy(), table.column("n").to_numpy()
+        order = np.argsort(word)
+        packed = table.column("postings").take(pa.array(order)).cast(pa.large_binary()).combine_chunks()
+        packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) and packed.num_chunks == 1 else packed
+        self.word, self.size = word[order], size[order]
+        if len(word):
+            _, offsets, data = packed.buffers()
+            at = np.frombuffer(offsets, _I64, len(word) + 1, packed.offset * 8)
+            self.place = unpack_gaps(np.frombuffer(data, np.uint8)[at[0] : at[-1]], self.size)
+        else:
+            self.place = np.zeros(0, _I64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.key = np.repeat(np.arange(len(word)), self.size) << 40 | self.place
+
+    def rank(self, words: np.ndarray) -> np.ndarray:
+        """The words' places in this table, -1 for those that it has not."""
+        at = np.searchsorted(self.word, words)
+        at[at == len(self.word)] = 0
+        return np.where(self.word[at] == words, at, -1) if len(self.word) else np.full(len(words), -1)
+
+    def has(self, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the words of some ranks stand at the places."""
+        key = rank << 40 | place
+        at = np.searchsorted(self.key, key)
+        at[at == len(self.key)] = 0
+        return (rank >= 0) & (place >= 0) & (self.key[at] == key) if len(self.key) else np.zeros(len(rank), bool)
+
+    def near(self, rank: np.ndarray, place: np.ndarray, within: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether the words of some ranks stand within some words of the places, at lo or later and before hi."""
+        if not len(self.key):
+            return np.zeros(len(rank), bool)
+        key = rank << 40 | np.maximum(place - within, lo)
+        at = np.searchsorted(self.key, key)
+        here = at < len(self.key)
+        at[~here] = 0
+        return (rank >= 0) & here & (self.key[at] >> 40 == rank) & (self.place[at] <= np.minimum(place + within, hi - 1))
+
+    def starts(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index into ``words``, place) of every place of the words, some at a time."""
+        rank = self.rank(words)
+        which = np.flatnonzero(rank >= 0)
+        size = self.size[rank[which]]
+        total = np.cumsum(size)
+        i = 0
+        while i < len(which):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + TOGETHER, "right")))
+            n = size[i:j]
+            at = np.repeat(self.begin[rank[which[i:j]]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(which[i:j], n), self.place[at]
+            i = j
 
 
 def build(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -123,26 +195,36 @@ def phrases(items: list[tuple], window: int = WINDOW) -> dict[tuple[int, ...], l
     return found
 
 
-def intersect(lists: dict[int, np.ndarray], word: tuple[int, ...], places: list[int], starts: np.ndarray | None = None) -> np.ndarray:
-    """Where a phrase may start: the lists of the words at ``places``, shifted by their places, have it in common (with ``starts``)."""
-    none = np.zeros(0, _I64)
-    for p in places:
-        other = lists.get(word[p], none)
-        if starts is None:
-            starts = other - p
-        elif len(other):
-            at = np.searchsorted(other, starts + p)
-            at[at == len(other)] = 0
-            starts = starts[other[at] == starts + p]
-        else:
-            starts = none
-        if not len(starts):
-            break
-    return none if starts is None else starts
-
-
-def _lists(table: pa.Table) -> dict[int, np.ndarray]:
-    return {w: unpack_gaps(p) for w, p in zip(table.column("word").to_pylist(), table.column("postings").to_pylist(), strict=True) if p is not None}
+class Windows:
+    """Windows as arrays: their words, the words' places in order of rarity, and the items that have them."""
+
+    def __init__(self, found: dict[tuple[int, ...], list], total: dict[int, int], window: int) -> None:
+        kept = [(word, owners) for word, owners in found.items() if all(w in total for w in word)]
+        self.size = np.array([len(word) for word, _ in kept], _I64)
+        self.word = np.zeros((len(kept), window), _I64)
+        often = np.full((len(kept), window), np.iinfo(_I64).max)
+        for i, (word, _) in enumerate(kept):
+            self.word[i, : len(word)] = word
+            often[i, : len(word)] = [total[w] for w in word]
+        self.order = np.argsort(often, axis=1, kind="stable").astype(np.int16)
+        self.items = sorted({str(x) for _, owners in kept for x in owners if x is not None})
+        place = {x: i for i, x in enumerate(self.items)}
+        listed = [[place[str(x)] for x in owners if x is not None] for _, owners in kept]
+        self.bounds = np.cumsum([0, *map(len, listed)])
+        self.owner = np.array([x for one in listed for x in one], np.int32)
+
+    def terms(self, lo: int, hi: int) -> np.ndarray:
+        """The words that stand lo-th to hi-th by rarity in any window."""
+        cols = [self.word[np.flatnonzero(self.size > j), self.order[self.size > j, j]] for j in range(lo, min(hi, self.word.shape[1]))]
+        return np.unique(np.concatenate(cols)) if cols else np.zeros(0, _I64)
+
+    def at(self, lists: Lists, window: np.ndarray, start: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """The (window, start) whose lo-th to hi-th rarest words stand at their places."""
+        for j in range(lo, min(hi, self.word.shape[1])):
+            p = self.order[window, j]
+            ok = (self.size[window] <= j) | lists.has(lists.rank(self.word[window, p]), start + p)
+            window, start = window[ok], start[ok]
+        return window, start
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,31 +245,28 @@ def search(index: DataFrame, items: list[tuple], window: int = WINDOW, rarest: i
     found = phrases(items, window)
     if not found:
         return None
-    asked = spark.createDataFrame([(h,) for h in {h for word in found for h in word}], "word long")
-    # the words of a block, and below the words of its windows: bounded by the block
-    total = {r["word"]: r["n"] for r in index.join(F.broadcast(asked), "word").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    chosen = []
-    for word, owners in found.items():
-        if all(w in total for w in word):
-            places = sorted(range(len(word)), key=lambda p, word=word: (total[word[p]], p))
-            chosen.append((word, places[:rarest], places[rarest:], [str(x) for x in owners if x is not None]))
-    shared = spark.sparkContext.broadcast(chosen)
-    terms = spark.createDataFrame([(h,) for h in {word[p] for word, places, _, _ in chosen for p in places}], "word long")
+    windows = Windows(found, counts(index, sorted({h for word in found for h in word})), window)
+    del found
+    shared = spark.sparkContext.broadcast(windows)
+    terms = spark.createDataFrame(pa.table({"word": windows.terms(0, rarest)}))
 
     def near(key: tuple, table: pa.Table) -> pa.Table:
-        lists = _lists(table)
-        number, start = [], []
-        for i, (word, places, _, _) in enumerate(shared.value):
-            if len(starts := intersect(lists, word, places)):
-                number.append(np.full(len(starts), i))
-                start.append(starts)
+        lists, w = Lists(table), shared.value
+        rows = np.arange(len(w.size))
         none = [np.zeros(0, _I64)]
+        number, start = [], []
+        for i, place in lists.starts(w.word[rows, w.order[:, 0]]):
+            n, s = w.at(lists, i, place - w.order[i, 0], 1, rarest)
+            number.append(n[s >= 0])
+            start.append(s[s >= 0])
         number, start = np.concatenate(number or none), np.concatenate(start or none)
         return pa.table({"segment": pa.array(np.full(len(number), key[0].as_py(), _I64)), "phrase": pa.array(number), "start": pa.array(start)})
 
     # a segment's lists and what is found in it are bounded by the segment and the block
-    candidates = cut(index.join(F.broadcast(terms), "word").select("segment", "word", "postings").groupBy("segment").applyInArrow(near, "segment long, phrase long, start long"))
-    others = spark.createDataFrame([(i, word[p]) for i, (word, _, rest, _) in enumerate(chosen) for p in rest], "phrase long, word long")
+    candidates = cut(index.join(F.broadcast(terms), "word").select("segment", "word", "n", "postings").groupBy("segment").applyInArrow(near, "segment long, phrase long, start long"))
+    column = np.arange(windows.word.shape[1])
+    late, at = np.nonzero((column >= rarest) & (column < windows.size[:, None]))
+    others = spark.createDataFrame(pa.table({"phrase": late.astype(_I64), "word": windows.word[late, windows.order[late, at]]}))
     needed = candidates.select("segment", "phrase").distinct().join(F.broadcast(others), "phrase").select("segment", "word").distinct()
     hit_segments = candidates.select("segment").distinct()
     rows = index.where("word is not null").join(needed, ["segment", "word"]).select("segment", "word", "postings", "at", "n", "row").union(
@@ -195,31 +274,19 @@ def search(index: DataFrame, items: list[tuple], window: int = WINDOW, rarest: i
     )
 
     def verify(key: tuple, near: pa.Table, table: pa.Table) -> pa.Table:
-        lists = _lists(table)
+        lists, w = Lists(table), shared.value
         docs = table.filter(pa.compute.is_valid(table.column("row"))).sort_by("row")
         at, n, row = (docs.column(c).to_numpy() for c in ("at", "n", "row"))
         has = n > 0
         at, n, row = at[has], n[has], row[has]
-        phrase, start = near.column("phrase").to_numpy(), near.column("start").to_numpy()
-        order = np.argsort(phrase, kind="stable")
-        phrase, start = phrase[order], start[order]
-        cuts = np.flatnonzero(np.concatenate([[True], phrase[1:] != phrase[:-1]])) if len(phrase) else []
-        begin, end, doc, owner = [], [], [], []
-        for i, j in zip(cuts, [*cuts[1:], len(phrase)], strict=True):
-            word, _, rest, owners = shared.value[phrase[i]]
-            starts = intersect(lists, word, rest, start[i:j])
-            if not len(starts):
-                continue
-            d = np.searchsorted(at, starts, "right") - 1
-            inside = starts + len(word) <= at[d] + n[d]  # a phrase does not go on into the next document
-            starts, d = starts[inside], d[inside]
-            begin.append(starts)
-            end.append(starts + len(word))
-            doc.append(d)
-            owner += [(x, owners) for x in np.unique(d)]
+        phrase, start = w.at(lists, near.column("phrase").to_numpy(), near.column("start").to_numpy(), rarest, w.word.shape[1])
+        doc = np.searchsorted(at, start, "right") - 1
+        inside = start + w.size[phrase] <= at[doc] + n[doc] if len(at) else np.zeros(len(start), bool)  # a phrase does not go on into the next document
+        phrase, begin, doc = phrase[inside], start[inside], doc[inside]
+        end = begin + w.size[phrase]
+        owner = [(x, w.owner[w.bounds[i] : w.bounds[i + 1]]) for x, i in np.unique(np.stack([doc, phrase], 1), axis=0)] if len(doc) else []
         out: list[tuple] = []
-        if begin:
-            begin, end, doc = np.concatenate(begin), np.concatenate(end), np.concatenate(doc)
+        if len(begin):
             by_doc: dict[int, set] = {}
             for x, owners in owner:
                 by_doc.setdefault(x, set()).update(owners)
@@ -228,7 +295,7 @@ def search(index: DataFrame, items: list[tuple], window: int = WINDOW, rarest: i
             for x in sorted(by_doc):
                 lo, hi = np.searchsorted(doc, [x, x + 1])
                 b, e = merged(begin[lo:hi], end[lo:hi])
-                out.append((int(row[x]), (b - at[x]).tolist(), (e - at[x]).tolist(), sorted(by_doc[x])))
+                out.append((int(row[x]), (b - at[x]).tolist(), (e - at[x]).tolist(), sorted(w.items[o] for o in by_doc[x])))
         cols = list(zip(*out, strict=True)) or [()] * 4
         longs = pa.list_(pa.int64())
         return pa.table({"segment": pa.array([key[0].as_py()] * len(out), pa.int64()), "row": pa.array(cols[0], pa.int64()), "from": pa.array(cols[1], longs), "to": pa.array(cols[2], longs), "items": pa.array(cols[3], pa.list_(pa.string()))})
@@ -249,40 +316,68 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple
         yield held
 
 
-def near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
-    """Proximity matches: (segment, row, doc_id, place) where the rarest of the terms stands at word ``place`` of a document and every other
-    term within ``within`` words of it, in any order. Equal terms count once."""
+def counts(index: DataFrame, words: list[int]) -> dict[int, int]:
+    """How often the words stand in the index; those that do not are left out. The words are a block's, so their number is bounded."""
+    asked = index.sparkSession.createDataFrame(pa.table({"word": pa.array(words, pa.int64())}))
+    return {r["word"]: r["n"] for r in index.join(F.broadcast(asked), "word").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+
+
+def near(index: DataFrame, terms: dict[str, list[str]], within: int = WITHIN, most: int = NEAR_WORDS) -> DataFrame | None:
+    """Proximity matches: (segment, row, name, place) where of each name's list of words the rarest stands at word ``place`` of a document and the
+    ``most - 1`` next rarer ones within ``within`` words of it, in any order. Words are taken as they are split from texts, equal ones once; of equally
+    rare ones the first by alphabet is rarer. A name with a word that no document has is found nowhere. None if there are no words."""
     spark = index.sparkSession
-    data, at = buffers(pa.array(sorted({t.translate(_TO_LOWER) for t in terms}), pa.string()))
-    codes = hashes(data, at[:-1], at[1:]).view(_I64).tolist()
-    asked = spark.createDataFrame([(c,) for c in codes], "word long")
-    total = {r["word"]: r["n"] for r in index.join(F.broadcast(asked), "word").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    order = sorted(codes, key=lambda c: total.get(c, 0))
-    rows = index.join(F.broadcast(asked), "word").select("segment", "word", "postings", "at", "n", "row", "doc_id").union(index.where("word is null").select("segment", "word", "postings", "at", "n", "row", "doc_id"))
-    id_type = index.schema["doc_id"].dataType.simpleString()
+    split = {name: sorted({w for t in words for w in _WORD.findall((t or "").translate(_TO_LOWER))}) for name, words in terms.items()}
+    distinct = sorted({w for words in split.values() for w in words})
+    if not distinct:
+        return None
+    data, at = buffers(pa.array(distinct, pa.string()))
+    code = dict(zip(distinct, hashes(data, at[:-1], at[1:]).view(_I64).tolist(), strict=True))
+    total = counts(index, sorted(code.values()))
+    chosen = [(name, sorted(words, key=lambda w: (total.get(code[w], 0), w))[:most]) for name, words in sorted(split.items()) if words]
+    chosen = [(name, [code[w] for w in words]) for name, words in chosen if all(code[w] in total for w in words)]
+    names = [name for name, _ in chosen]
+    word, size = np.zeros((len(chosen), most), _I64), np.array([len(w) for _, w in chosen], _I64)
+    for i, (_, words) in enumerate(chosen):
+        word[i, : len(words)] = words
+    asked = spark.createDataFrame(pa.table({"word": np.unique(word[np.arange(most) < size[:, None]])}))
+    columns = ["segment", "word", "postings", "at", "n", "row"]
+    rows = index.join(F.broadcast(asked), "word").select(*columns).union(index.where("word is null").select(*columns))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        lists = _lists(table)
+        lists = Lists(table)
         docs = table.filter(pa.compute.is_valid(table.column("row"))).sort_by("row")
         docs = docs.filter(pa.compute.greater(docs.column("n"), 0))
-        at = docs.column("at").to_numpy()
+        at, n, row = (docs.column(c).to_numpy() for c in ("at", "n", "row"))
         none = np.zeros(0, _I64)
-        here = lists.get(order[0], none)
-        d = np.searchsorted(at, here, "right") - 1
-        for c in order[1:]:
-            other = lists.get(c, none)
-            if not len(here) or not len(other):
-                here, d = none, none
-                break
-            of = np.searchsorted(at, other, "right") - 1
-            j = np.searchsorted(other, here)
-            ok = np.zeros(len(here), bool)
-            for k in (np.maximum(j - 1, 0), np.minimum(j, len(other) - 1)):
-                ok |= (np.abs(other[k] - here) <= within) & (of[k] == d)
-            here, d = here[ok], d[ok]
-        return pa.table({"segment": pa.array(np.full(len(here), key[0].as_py(), _I64)), "row": docs.column("row").combine_chunks().take(pa.array(d, pa.int64())), "doc_id": docs.column("doc_id").combine_chunks().take(pa.array(d, pa.int64())), "place": pa.array(here - at[d] if len(here) else none)})
-
-    return rows.groupBy("segment").applyInArrow(run, f"segment long, row long, doc_id {id_type}, place long")
+        found = [[none] * 3]
+        for i, place in lists.starts(word[:, 0]) if len(word) else ():
+            d = np.searchsorted(at, place, "right") - 1
+            for j in range(1, most):
+                ok = (size[i] <= j) | lists.near(lists.rank(word[i, j]), place, within, at[d], at[d] + n[d])
+                i, place, d = i[ok], place[ok], d[ok]
+            found.append([i, row[d], place - at[d]])
+        i, r, place = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"segment": pa.array(np.full(len(i), key[0].as_py(), _I64)), "row": pa.array(r), "name": pa.array(names, pa.string()).take(pa.array(i)), "place": pa.array(place)})
+
+    return rows.groupBy("segment").applyInArrow(run, "segment long, row long, name string, place long")
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, within: int = WITHIN, most: int = NEAR_WORDS) -> DataFrame:
+    """One row a document: doc_id, n_near, the number of items whose rarest words stand together in it, and near_sha256 of their ids, sorted.
+
+    Items of equal ids are one; those without words or of a null id name none."""
+    index = stored(build(docs), "postings")
+    rows = index.where("word is null").select("segment", "row", "doc_id")
+    found = None
+    for block in blocks(benchmark.where("item_id is not null").groupBy("item_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))):
+        one = near(index, {str(i): [t] for i, t in block}, within, most)
+        found = one if found is None or one is None else found.union(one)
+    empty = F.lit(hashlib.sha256(b"").hexdigest())
+    if found is None:
+        return rows.select("doc_id", F.lit(0).cast("long").alias("n_near"), empty.alias("near_sha256"))
+    by = found.groupBy("segment", "row").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return rows.join(by, ["segment", "row"], "left").select("doc_id", F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_near"), F.coalesce(F.sha2(F.array_join("names", ","), 256), empty).alias("near_sha256"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
@@ -337,6 +432,26 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+PROXIMITY_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+o AS (SELECT doc_id, w[i] AS w, i FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT w, count(*) AS n FROM o WHERE w IN (SELECT w FROM b) GROUP BY w),
+r AS (SELECT item, w, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY item ORDER BY coalesce(n, 0), w) AS k FROM b LEFT JOIN n USING (w)),
+c AS (SELECT item, w, k, min(n) OVER (PARTITION BY item) AS least, count(*) OVER (PARTITION BY item) AS size FROM r WHERE k <= {NEAR_WORDS}),
+a AS (SELECT item, w, size FROM c WHERE k = 1 AND least > 0),
+h AS (SELECT a.item, a.size, o.doc_id, o.i FROM a JOIN o USING (w)),
+x AS (SELECT h.item, h.doc_id, h.i, any_value(h.size) AS size, count(DISTINCT c.k) AS k FROM h JOIN c ON c.item = h.item AND c.k > 1 JOIN o ON o.w = c.w AND o.doc_id = h.doc_id AND abs(o.i - h.i) <= {WITHIN} GROUP BY 1, 2, 3),
+f AS (SELECT DISTINCT doc_id, item FROM (SELECT doc_id, item FROM x WHERE k = size - 1 UNION ALL SELECT doc_id, item FROM h WHERE size = 1)),
+g AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_near, sha256(coalesce(items, '')) AS near_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated rows go, whatever their ids."""
     rows = keyed(docs)

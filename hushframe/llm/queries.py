@@ -19,7 +19,10 @@ MODULES = {
     "op8_warc": "warc",
     "op9_packing": "packing",
     "op10_licenses": "licenses",
+    "proximity_matches": "decontam",
 }
+#: Queries whose SQL has a name of its own in the module.
+SQL = {"proximity_matches": "PROXIMITY_SQL"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,5 +30,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"{__package__}.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items()}
+    found = {name: getattr(import_module(f"{__package__}.{module}"), SQL.get(name, "ORACLE_SQL"), None) for name, module in MODULES.items()}
     return {name: sql for name, sql in found.items() if sql}
