@@ -11,6 +11,7 @@ All text in what is kept stays, in page order.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -49,18 +50,27 @@ LEFT = (0.75, 0.1)
 LOWER = 0.25
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_ENDS = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: Elements that an opening tag of a list, table or select may end, or that stop it.
+PARTS = frozenset().union(*(same | stop for same, stop in ENDS_SAME.values()))
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "gone", "named", "low", "score", "text_len", "link_len", "commas", "start", "end")
+    """An element. ``block`` and ``part``: the nearest element from itself upwards that is a block, or one of ``PARTS``."""
+
+    __slots__ = ("tag", "parent", "children", "block", "part", "gone", "named", "low", "headed", "score", "text_len", "link_len", "commas")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
-        self.named, self.low = 0, False
-        self.gone, self.score, self.text_len, self.link_len, self.commas, self.start, self.end = False, 0.0, 0, 0, 0, 0, 0
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.part = self if tag in PARTS else parent.part if parent is not None else None
+        self.named, self.low, self.headed = 0, False, False
+        self.gone, self.score, self.text_len, self.link_len, self.commas = False, 0.0, 0, 0, 0
 
 
 def _boilerplate(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
@@ -85,14 +95,29 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
 
 
 def tree(html: str) -> Node:
-    """The page as a tree of elements and text pieces, whatever its mistakes: unknown end tags are ignored, open ones end with their parent."""
+    """The page as a tree of elements and text pieces, whatever its mistakes: unknown end tags are ignored, open ones end with their parent.
+
+    The time is linear in the page: each character is looked at a few times, an end tag walks up only over what it closes, and an
+    opening tag only over the list, table and select parts around it."""
     root = Node("html", None)
-    at, node, articles = 0, root, 0
-    n = len(html)
+    at, node, n = 0, root, len(html)
+    last = html.rfind(">")  # no tag begins behind it
+    opened: Counter[str] = Counter()
+    body = False
+
+    def close(upto: Node) -> Node:
+        """Ends all open elements up to the given one; its parent."""
+        x = node
+        while x is not upto:
+            opened[x.tag] -= 1
+            x = x.parent
+        opened[x.tag] -= 1
+        return x.parent
+
     while at < n:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, at, last + 1) if at <= last else None
         if m is None:
-            node.children.append(unescape(html[at:]))
+            node.children.append(unescape(html[at:].partition("<!--")[0]))
             break
         if m.start() > at:
             node.children.append(unescape(html[at : m.start()]))
@@ -101,63 +126,57 @@ def tree(html: str) -> Node:
         if not name:
             if m[0].startswith("<![CDATA["):
                 node.children.append(m[0][9:].removesuffix("]]>"))
+            elif m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break  # a comment that nothing closes
             continue
         tag, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            x = node
-            while x is not None and x.tag != tag:
-                # an end tag does not reach out of a table cell, except to end the table's own parts
-                x = x.parent
-            if x is not None and x.parent is not None:
-                while True:
-                    articles -= node.tag == "article"
-                    done = node is x
-                    node = node.parent
-                    if done:
-                        break
+            if opened[tag]:
+                x = node
+                while x.tag != tag:
+                    x = x.parent
+                node = close(x)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and not any(isinstance(c, Node) and c.tag == "body" for c in root.children):
-                while node is not root:  # an open head ends here
-                    articles -= node.tag == "article"
-                    node = node.parent
-                node = Node("body", root)
+            if tag == "body" and not body:
+                if node is not root:  # an open head ends here
+                    x = node
+                    while x.parent is not root:
+                        x = x.parent
+                    node = close(x)
+                node, body = Node("body", root), True
                 root.children.append(node)
+                opened["body"] += 1
             continue
-        if tag in ENDS_P:
-            x = node
-            while x is not None and x.tag not in BLOCK:
-                x = x.parent
-            if x is not None and x.tag == "p":
-                node = x.parent
+        if tag in ENDS_P and node.block.tag == "p":
+            node = close(node.block)
         if tag in ENDS_SAME:
             same, stop = ENDS_SAME[tag]
-            x, last = node, None
+            x, outer = node.part, None
             while x is not None and x.tag not in stop:
                 if x.tag in same:
-                    last = x
-                x = x.parent
-            if last is not None and x is not None:
-                node = last.parent
+                    outer = x
+                x = x.parent.part
+            if outer is not None and x is not None:
+                node = close(outer)
         new = Node(tag, node)
-        new.gone, new.named = _boilerplate(tag, attrs, articles > 0)
+        new.gone, new.named = _boilerplate(tag, attrs, opened["article"] > 0)
         new.gone = new.gone or node.gone
         node.children.append(new)
         if tag in RAW:
-            end = re.compile(f"</{tag}", re.I).search(html, at)
+            end = _ENDS[tag].search(html, at)
             if end is None:
                 break
             at = html.find(">", end.end()) + 1 or n
         elif tag not in VOID and not attrs.endswith("/"):
             node = new
-            articles += tag == "article"
+            opened[tag] += 1
     return root
 
 
 def _measure(root: Node) -> list[Node]:
     """Elements that stay, parents first, with their lengths of text and of text in links."""
     order, stack = [], [(root, False)]
-    linked: dict[int, bool] = {}
     while stack:
         node, in_link = stack.pop()
         in_link = in_link or node.tag == "a"
@@ -172,25 +191,16 @@ def _measure(root: Node) -> list[Node]:
         for c in reversed(node.children):
             if isinstance(c, Node) and not c.gone:
                 stack.append((c, in_link))
-    del linked
     for node in reversed(order):
+        node.headed = node.headed or node.tag in HEADINGS
         if node.parent is not None:
+            node.parent.headed = node.parent.headed or node.headed
             node.parent.text_len += node.text_len
             node.parent.link_len += node.link_len
             node.parent.commas += node.commas
     return order
 
 
-def _headed(top: Node) -> bool:
-    stack = [top]
-    while stack:
-        x = stack.pop()
-        if x.tag in HEADINGS:
-            return True
-        stack.extend(c for c in x.children if isinstance(c, Node) and not c.gone)
-    return False
-
-
 def _drop_named(root: Node, order: list[Node]) -> None:
     """Mark what goes by its name, and what has its scores lowered. Lengths are of the tree with all named parts."""
     total = root.text_len - root.link_len
@@ -200,7 +210,7 @@ def _drop_named(root: Node, order: list[Node]) -> None:
         while stack:
             x, lowered = stack.pop()
             if x.named and plain(x) <= WRAPS[x.named - 1] * total:
-                few = x.link_len >= 0.5 * x.text_len or (x.text_len < 25 and not _headed(x))
+                few = x.link_len >= 0.5 * x.text_len or (x.text_len < 25 and not x.headed)
                 if few or x.named >= least:
                     gone.append(x)
                     left -= plain(x)
