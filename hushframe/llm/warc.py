@@ -10,9 +10,10 @@ Reading. Archives are read as binary files (their size is bounded when they are
 Content-Length, so a payload may hold anything, also whole WARC records. Each record gives a capture: reversed-host key,
 file, offset, length, and the payload's size and digest as found in the archive.
 
-Index. Captures are range-partitioned and sorted by key, then packed into compressed blocks of ``per_block`` captures;
-a sparse directory has each block's first key. A lookup binary-searches the directory, range-reads and inflates one run of
-blocks, binary-searches it, and range-reads the record.
+Index. Captures are range-partitioned and sorted by key (url, then page), then packed into compressed blocks of ``per_block`` captures;
+a sparse directory has each block's first key. It has ``DIRECTORY`` entries at most, as blocks grow with the number of captures beyond. A lookup
+binary-searches the directory, inflates the block or blocks that may hold the key, binary-searches them, and range-reads the record. A table of
+keys is looked up in the same way: tasks search the directory, keys meet their blocks by a join, and each block is searched once for all of its keys.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import bisect
 import hashlib
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +35,16 @@ from .common import bit_place, bit_table, bits_at, cut, new_path, stored
 
 LEAST = 100
 PER_BLOCK = 2000
-#: Payload bytes that a file of the archive aims at.
+#: Blocks of an index, and so entries of its directory, at most.
+DIRECTORY = 100_000
+#: Bytes of a file of the archive: a record that would go beyond begins the next file, so only a single record can be longer.
 FILE_BYTES = 16 << 20
+#: What a record's headers take at most besides its url.
+HEAD = 700
 END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 CAPTURE = "surt string, page_id long, file string, offset long, length long, record_type string, payload_bytes long, payload_digest string, refers_to long"
+_SCHEMA = pa.schema([("surt", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 
 
 def surt(url: str) -> str:
@@ -65,31 +73,50 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     # only digests that two rows or more share; combined before the shuffle
     shared = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
     shared = cut(shared)
-    mean = rows.agg(F.avg("bytes")).first()[0] or 1
     # payloads whose digest nobody shares are written where they are read; only the others are dealt out to be joined
     table = spark.sparkContext.broadcast(bit_table(shared.select(bit_place("d").alias("p"))))
-
-    def some(shares: bool) -> DataFrame:
+    marked = rows.withColumn("p", bit_place("digest"))
+
+    def rolled(batch: pa.RecordBatch, state: list[int]) -> pa.RecordBatch:
+        """With the number of the file, within the task, that each record goes to."""
+        size = batch.column(batch.schema.get_field_index("bytes")).to_numpy() + pc.binary_length(batch.column(batch.schema.get_field_index("url"))).to_numpy() + HEAD
+        roll = np.empty(len(size), np.int32)
+        for i, n in enumerate(size.tolist()):
+            if state[1] and state[1] + n > file_bytes:
+                state[0], state[1] = state[0] + 1, 0
+            state[1] += n
+            roll[i] = state[0]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(roll)], names=[*batch.schema.names, "roll"])
+
+    def some(shares: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = [0, 0]
             for batch in batches:
                 hit = bits_at(table.value, batch.column("p").to_numpy())
-                yield batch.filter(pa.array(hit == shares))
+                kept = batch.filter(pa.array(hit == shares))
+                yield kept if shares else rolled(kept, state)
+
+        return run
 
-        marked = rows.withColumn("p", bit_place("digest"))
-        return marked.mapInArrow(run, marked.schema).drop("p")
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = [0, 0]
+        for batch in batches:
+            yield rolled(batch, state)
 
-    dealt = some(True).join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left").drop("d").hint("rebalance")
-    for found in (some(False).withColumn("first", F.lit(None).cast("long")), dealt):
-        _records_of(found).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, int(file_bytes // (mean + 600)))).text(path)
+    known = "page_id long, url string, html string, bytes long, digest string"
+    alone = marked.mapInArrow(some(False), f"{known}, p long, roll int").select(*rows.columns, F.lit(None).cast("long").alias("first"), "roll")
+    dealt = marked.mapInArrow(some(True), f"{known}, p long").join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left").select(*rows.columns, "first").hint("rebalance")
+    for found in (alone, dealt.mapInArrow(roll, f"{known}, first long, roll int")):
+        found.select(_record().alias("value"), "roll").write.mode("append").option("lineSep", END).partitionBy("roll").text(path)
 
 
-def _records_of(found: DataFrame) -> DataFrame:
-    """WARC records without their closing line ends, of rows with page_id, url, html, bytes, digest and first."""
+def _record() -> Column:
+    """A WARC record without its closing line ends, of page_id, url, html, bytes, digest and first."""
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("html"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
-    record = F.concat(
+    return F.concat(
         F.lit("WARC/1.0\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", _uuid(F.concat_ws("|", page, "digest"))),
@@ -106,7 +133,6 @@ def _records_of(found: DataFrame) -> DataFrame:
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"), body,
     )
-    return found.select(record.alias("value"))
 
 
 def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -129,7 +155,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives below ``path``; sizes and digests of responses are taken from the payload read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("surt", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
+        schema = _SCHEMA
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 out: list[list] = [[] for _ in schema]
@@ -146,24 +172,44 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, CAPTURE)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, CAPTURE)
+
+
+def _key(url_key: str, page: int | None) -> tuple[str, int]:
+    """What captures are sorted by; a null page comes first."""
+    return url_key, -(1 << 63) if page is None else page
+
+
+def _inflate(data: bytes) -> list[list]:
+    return [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
+
+
+def _run(rows: list[list], key: tuple[str, int]) -> list[list]:
+    """The captures of a key in a sorted block."""
+    of = lambda r: _key(r[0], r[1])
+    return rows[bisect.bisect_left(rows, key, key=of) : bisect.bisect_right(rows, key, key=of)]
 
 
 def write_index(found: DataFrame, path: str, per_block: int = PER_BLOCK) -> None:
     """Blocks of sorted captures below ``path``/blocks, their directory below ``path``/directory. Equal urls are told apart by
     page_id, file and offset, so a hot host or url spreads over many blocks."""
     order = ["surt", "page_id", "file", "offset"]
+    per_block = max(per_block, -(-found.count() // DIRECTORY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in CAPTURE.split(", ")]
         kept: list[list] = []
+        made, part = 0, 0
 
         def block(rows: list[list]) -> pa.RecordBatch:
+            nonlocal made
             data = zlib.compress("\n".join(json.dumps(r, ensure_ascii=False) for r in rows).encode())
-            return pa.RecordBatch.from_pydict({"first": [rows[0][0]], "last": [rows[-1][0]], "n": pa.array([len(rows)], pa.int32()), "data": [data]})
+            made += 1
+            return pa.RecordBatch.from_pydict({"block": [(part << 32) + made], "first": [rows[0][0]], "first_page": pa.array([_key(*rows[0][:2])[1]], pa.int64()), "n": pa.array([len(rows)], pa.int32()), "data": [data]})
 
         for batch in batches:
-            kept += [list(r) for r in zip(*(batch.column(n).to_pylist() for n in names), strict=True)]
+            if batch.num_rows:
+                part = batch.column("part")[0].as_py()
+            kept += [list(r) for r in zip(*(batch.column(n).to_pylist() for n in _SCHEMA.names), strict=True)]
             while len(kept) >= per_block:
                 yield block(kept[:per_block])
                 del kept[:per_block]
@@ -171,22 +217,59 @@ def write_index(found: DataFrame, path: str, per_block: int = PER_BLOCK) -> None
             yield block(kept)
 
     spark = found.sparkSession
-    found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "first string, last string, n int, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
-    spark.read.parquet(f"{path}/blocks").select("first", "last", "n", at.alias("at")).select("first", "last", "n", "at.file").write.parquet(f"{path}/directory")
+    ranged = found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
+    ranged.mapInArrow(run, "block long, first string, first_page long, n int, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    spark.read.parquet(f"{path}/blocks").select("block", "first", "first_page", "n").write.parquet(f"{path}/directory")
 
 
-def entries(spark: SparkSession, path: str) -> DataFrame:
-    """All captures, out of the index's blocks."""
+class Directory:
+    """The sparse directory, sorted: it says which blocks may hold a key."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        rows = sorted(((r["first"], r["first_page"]), r["block"]) for r in spark.read.parquet(f"{path}/directory").collect())  # ``DIRECTORY`` at most
+        self.firsts, self.blocks = [x[0] for x in rows], [x[1] for x in rows]
+
+    def search(self, lo: tuple[str, int], hi: tuple[str, int]) -> list[int]:
+        """The blocks that may hold keys from lo to hi."""
+        return self.blocks[max(0, bisect.bisect_left(self.firsts, lo) - 1) : bisect.bisect_right(self.firsts, hi)]
+
+
+def keys_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(surt, page_id) of pages, each once; a null url has the key of an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("surt", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
         for batch in batches:
-            for data in batch.column("data"):
-                rows = [json.loads(x) for x in zlib.decompress(data.as_py()).decode().split("\n")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in batch.column("url").to_pylist()], pa.string()), batch.column("page_id")], names=["surt", "page_id"])
 
-    return spark.read.parquet(f"{path}/blocks").select("data").mapInArrow(run, CAPTURE)
+    url = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x1F\x7F]", "")
+    return pages.select(url.alias("url"), F.col(id_col).cast("long").alias("page_id")).mapInArrow(run, "surt string, page_id long").distinct()
+
+
+def lookup(keys: DataFrame, path: str) -> DataFrame:
+    """The captures of a table of different keys (surt, page_id), out of the index below ``path``."""
+    spark = keys.sparkSession
+    shared = spark.sparkContext.broadcast(Directory(spark, path))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, block = [], []
+            for i, (key, page) in enumerate(zip(batch.column("surt").to_pylist(), batch.column("page_id").to_pylist(), strict=True)):
+                for b in shared.value.search(_key(key, page), _key(key, page)):
+                    row.append(i)
+                    block.append(b)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row, pa.int64())) for c in batch.columns], pa.array(block, pa.int64())], names=["surt", "page_id", "block"])
+
+    def search(_: tuple, asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        out: list[list] = []
+        for data in blocks.column("data").to_pylist():
+            rows = _inflate(data)
+            for key, page in zip(asked.column("surt").to_pylist(), asked.column("page_id").to_pylist(), strict=True):
+                out += _run(rows, _key(key, page))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(_SCHEMA), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+    asked = keys.mapInArrow(ask, "surt string, page_id long, block long")
+    blocks = spark.read.parquet(f"{path}/blocks").select("block", "data")
+    return asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(search, CAPTURE)
 
 
 def _range(spark: SparkSession, file: str, offset: int, length: int) -> bytes:
@@ -203,38 +286,33 @@ def _range(spark: SparkSession, file: str, offset: int, length: int) -> bytes:
 
 
 class Index:
-    """Lookups of single urls. The directory is sparse: one key for each ``per_block`` captures."""
+    """Lookups of single urls, on the driver."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        self.directory = sorted((r["first"], r["last"], r["file"]) for r in spark.read.parquet(f"{path}/directory").collect())
-        self.firsts = [x[0] for x in self.directory]
+        self.spark, self.path, self.directory = spark, path, Directory(spark, path)
 
     def lookup(self, url: str) -> list[tuple[dict, bytes]]:
         """(capture, record bytes' payload) for each capture of the url, revisits with an empty payload."""
         key = surt(url)
-        lo = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        hi = bisect.bisect_right(self.firsts, key)
-        wanted = [x for x in self.directory[lo:hi] if x[1] >= key]
+        wanted = self.directory.search((key, -(1 << 63)), (key, (1 << 63) - 1))
         if not wanted:
             return []
-        blocks = self.spark.read.parquet(*{x[2] for x in wanted}).where(F.col("first").isin([x[0] for x in wanted])).select("data").collect()
-        names = [x.split()[0] for x in CAPTURE.split(", ")]
         out = []
-        for b in blocks:
-            rows = [json.loads(x) for x in zlib.decompress(bytes(b["data"])).decode().split("\n")]
+        for b in self.spark.read.parquet(f"{self.path}/blocks").where(F.col("block").isin(wanted)).select("data").collect():
+            rows = _inflate(bytes(b["data"]))
             for row in rows[bisect.bisect_left(rows, key, key=lambda r: r[0]) : bisect.bisect_right(rows, key, key=lambda r: r[0])]:
-                capture = dict(zip(names, row, strict=True))
+                capture = dict(zip(_SCHEMA.names, row, strict=True))
                 _, _, _, payload = next(records(_range(self.spark, capture["file"], capture["offset"], capture["length"])))
                 out.append((capture, bytes(payload)))
         return out
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "warc")
-    write(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{path}/archive")
+    """Write the archive, read it back, index its captures, and look every page up in the index."""
+    pages, path = spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc")
+    write(pages, f"{path}/archive")
     write_index(stored(captures(spark, f"{path}/archive"), "captures"), f"{path}/index")
-    return entries(spark, f"{path}/index").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return lookup(keys_of(pages), f"{path}/index").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
