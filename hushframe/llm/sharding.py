@@ -67,12 +67,22 @@ def propagate(linked: DataFrame, capacity: list[int], rounds: int = 6) -> DataFr
     return state
 
 
+def _told_apart(base: DataFrame) -> DataFrame:
+    """Repeated rows (equal ``uid``) numbered; which of them gets which number does not matter, as they are interchangeable."""
+    twice = cut(base.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("uid").alias("u")))
+    if twice.isEmpty():
+        return base
+    same = base.join(twice, F.col("uid") == F.col("u"), "left_semi").withColumn("at", F.monotonically_increasing_id())
+    numbered = with_rank(cut(same), ["uid"], [F.col("at")], F.xxhash64("at"), 64).withColumn("uid", F.xxhash64("uid", "rank")).drop("at", "rank")
+    return cut(base.join(twice, F.col("uid") == F.col("u"), "left_anti").unionByName(numbered))
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, rounds: int = 6, hub: Column | None = None, rows_per_part: int = 20_000) -> DataFrame:
     """One row a document: id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``hub``: what links documents, by default the text itself (as hash, checksum and length). A null text has size 1, the
     checksum of no bytes, and no links; an empty text is a text as any other. Repeated rows and repeated or null ids
-    are rows of their own. An empty table gives an empty result. Other columns are ignored."""
+    are rows of their own. The result is a function of the rows: their order and partitions do not matter. An empty table gives an empty result. Other columns are ignored."""
     spark: SparkSession = docs.sparkSession
     text = F.col(text_col)
     rows = docs.select(
@@ -83,8 +93,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         text.isNull().alias("alone"),
     )
     groups = rows.where(~F.col("alone")).groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hub").alias("h"))
-    # uid: the row's content and place among equal rows is not needed, as equal rows are interchangeable; it only spreads labels
-    base = cut(rows.join(groups, F.col("hub").eqNullSafe(F.col("h")) & ~F.col("alone"), "left").select("id", "size", "crc", F.when(F.col("h").isNotNull(), F.xxhash64("hub")).alias("hub"), F.monotonically_increasing_id().alias("uid")))
+    linked = rows.join(groups, F.col("hub").eqNullSafe(F.col("h")) & ~F.col("alone"), "left")
+    # a row is named by its content, so that neither its place in the table nor a task's second run changes where it goes
+    base = cut(linked.select("id", "size", "crc", F.when(F.col("h").isNotNull(), F.xxhash64("hub")).alias("hub"), F.xxhash64("id", "size", "crc", "alone", "hub").alias("uid")))
+    base = _told_apart(base)
     total = base.count()
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     # hubs of more than half a shard: 2 * shards at most; dealt out in runs, they fill few shards and take no quota from small groups
