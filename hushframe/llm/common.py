@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +21,12 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is absent (tests, one machine), a temporary folder is made once and set."""
+    Where the setting is absent on one machine, as in tests, a temporary folder is made once and set; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="hushframe-")
     if not spark.sparkContext.getCheckpointDir():

@@ -78,6 +78,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def risk(z: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """What is minimised, and its gradient, for the linear scores of toxic and unlabelled rows: the non-negative risk, or, where the bracket is negative,
+    the bracket's distance from zero alone."""
+    n_p, n_u = int(toxic.sum()), int((~toxic).sum())
+    s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    bracket = np.mean(np.logaddexp(0, z[~toxic])) - prior * np.mean(np.logaddexp(0, z[toxic]))
+    g = np.zeros(len(z))
+    if bracket >= 0:
+        g[toxic] = (prior * (s[toxic] - 1) - prior * s[toxic]) / n_p
+        g[~toxic] = s[~toxic] / n_u
+        return float(prior * np.mean(np.logaddexp(0, -z[toxic])) + bracket), g
+    g[toxic] = prior * s[toxic] / n_p
+    g[~toxic] = -s[~toxic] / n_u
+    return float(-bracket), g
+
+
 def train(keys: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, toxic: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Model:
     """A model over the feature hashes ``keys`` from the sample's entries (row, column of keys, value)."""
     n_p, n_u = int(toxic.sum()), int((~toxic).sum())
@@ -87,16 +103,7 @@ def train(keys: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray,
     state = [np.zeros(len(keys)), np.zeros(len(keys)), 0.0, 0.0]
     for t in range(1, rounds + 1):
         z = np.bincount(row, w[col] * value, m) + b
-        s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        risk_u = np.mean(np.logaddexp(0, z[~toxic]))
-        risk_p_minus = prior * np.mean(np.logaddexp(0, z[toxic]))
-        g = np.zeros(m)
-        if risk_u - risk_p_minus >= 0:
-            g[toxic] = (prior * (s[toxic] - 1) - prior * s[toxic]) / n_p
-            g[~toxic] = s[~toxic] / n_u
-        else:
-            g[toxic] = prior * s[toxic] / n_p
-            g[~toxic] = -s[~toxic] / n_u
+        _, g = risk(z, toxic, prior)
         gw, gb = np.bincount(col, g[row] * value, len(keys)) + decay * w, g.sum()
         # Adam, a public optimiser
         state[0] = 0.9 * state[0] + 0.1 * gw
