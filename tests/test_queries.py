@@ -30,7 +30,7 @@ def test_entry(spark):
 def test_validated_over_every_row(spark):
     rows = seeded(spark, SF).collect()
     there = [(r["doc_id"], kind, start, end) for r in rows for start, end, kind, *_ in kernel.validated_prefix(r["text"])]
-    assert sorted(map(tuple, Q.QUERIES["detect_validated_all"](spark, SF).collect())) == sorted(there)
+    assert sorted(map(tuple, Q.QUERIES["detect_validated"](spark, SF).collect())) == sorted(there)
     assert len({r["doc_id"] % 12 for r in rows} & {k % 12 for k, *_ in there}) > 1
 
 
@@ -50,9 +50,9 @@ def test_placeholders_for_every_kind(spark):
         return start + (sha256((name + Q.SEED).encode()).hexdigest() * (n // 64 + 1))[:n]
 
     given = {f"VAR_{r['doc_id']}": r["secret"] for r in seeded(spark, SF).collect()}
-    found = Q.QUERIES["placeholder_values_all"](spark, SF).collect()
+    found = Q.QUERIES["placeholder_values"](spark, SF).collect()
     assert sorted(map(tuple, found)) == sorted((n, v, hidden(n, v), kept(v)) for n, v in given.items())
-    back = Q.QUERIES["placeholder_roundtrip_all"](spark, SF).collect()
+    back = Q.QUERIES["placeholder_roundtrip"](spark, SF).collect()
     assert sorted(map(tuple, back)) == sorted((n, v, True) for n, v in given.items())
 
 
