@@ -30,6 +30,9 @@ from .tokens import LOWER, NON_SPACE, buffers, hashes, mix, shingles, slices, wo
 
 SIZE = 4
 PERCENT = 85
+#: The same for the pipeline's stage.
+STAGE_SIZE = 5
+STAGE_PERCENT = 80
 SKETCH = 512
 #: Members of a signature that one task compares; more are dealt into blocks, and pairs of blocks are compared.
 GROUP = 2000
@@ -176,7 +179,8 @@ def star_edges(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
             held.clear()
             for i in range(0, len(sig), 100_000):
                 j = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[j].view(_I64)), pa.array(a[j]), pa.array(b[j])], names=["sig", "a", "b"])
+                # the smallest itself has no b: it takes no room, and most signatures are of one set
+                yield pa.RecordBatch.from_arrays([pa.array(sig[j].view(_I64)), pa.array(a[j]), pa.array(b[j], mask=a[j] == b[j])], names=["sig", "a", "b"])
 
         n = 0
         for whole in batches:
@@ -202,10 +206,10 @@ def star_edges(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead_sig, lead = None, None
         for batch in batches:
-            sig, a, b = (batch.column(c).to_numpy() for c in ("sig", "a", "b"))
+            sig, a, b = (batch.column(c).fill_null(0).to_numpy() for c in ("sig", "a", "b"))
             if not len(sig):
                 continue
-            star = a == b
+            star = batch.column("b").is_null().to_numpy(zero_copy_only=False)
             s, m = sig[star], a[star]
             if len(s):
                 # rows come sorted by signature and node: the first of a run is the smallest, also across batches
@@ -220,7 +224,7 @@ def star_edges(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
 
     rows = docs.select("text").mapInArrow(run, "sig long, a long, b long")
     # a signature's smallest node goes by the signature, its edges anywhere
-    by = F.when(F.col("a") == F.col("b"), F.col("sig")).otherwise(F.xxhash64("sig", "b"))
+    by = F.when(F.col("b").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "b"))
     dealt = rows.repartition(parts(docs.sparkSession), by).sortWithinPartitions("sig", "a", "b")
     return dealt.mapInArrow(join, "sig long, a long, b long")
 
@@ -401,11 +405,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group one row stays, that of the smallest id (a null one comes last), and those that link with nothing.
+    """Pipeline stage: of each group, by five-word shingles and a similarity of 80 % or more, one row stays, that of the smallest id (a null one comes
+    last), and those that link with nothing.
 
     Rows go by themselves: one that shares its id with a row that goes stays, and of repeated rows one stays."""
     rows = keyed(docs)
-    found = join(rows.select(F.col("_hf_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    found = join(rows.select(F.col("_hf_row").alias("doc_id"), "text"), STAGE_SIZE, STAGE_PERCENT).select(F.col("doc_id").alias("row"), "component_id")
     named = found.join(rows.select("_hf_row", "doc_id"), F.col("row") == F.col("_hf_row")).select("row", "component_id", "doc_id")
     stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("_hf_row"))
     return without(rows, named.select("row").join(stays, F.col("row") == F.col("_hf_row"), "left_anti"), "_hf_row").drop("_hf_row")
