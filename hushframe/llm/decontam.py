@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, keyed, stored, without
-from .tokens import ALNUM, LOWER, buffers, hashes, slices, words
+from .tokens import ALNUM, LOWER, buffers, hashes, release, slices, words
 
 WINDOW = 10
 RAREST = 4
@@ -174,6 +174,7 @@ def build(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
                     yield from segment()
         if held:
             yield from segment()
+        release()
 
     # a segment is named by its task's partition, which a recomputation keeps
     return given.mapInArrow(run, f"segment long, word long, n long, postings binary, doc_id {id_type}, at long, row long")
@@ -260,6 +261,8 @@ def search(index: DataFrame, items: list[tuple], window: int = WINDOW, rarest: i
             number.append(n[s >= 0])
             start.append(s[s >= 0])
         number, start = np.concatenate(number or none), np.concatenate(start or none)
+        del lists
+        release()
         return pa.table({"segment": pa.array(np.full(len(number), key[0].as_py(), _I64)), "phrase": pa.array(number), "start": pa.array(start)})
 
     # a segment's lists and what is found in it are bounded by the segment and the block
@@ -267,9 +270,11 @@ def search(index: DataFrame, items: list[tuple], window: int = WINDOW, rarest: i
     column = np.arange(windows.word.shape[1])
     late, at = np.nonzero((column >= rarest) & (column < windows.size[:, None]))
     others = spark.createDataFrame(pa.table({"phrase": late.astype(_I64), "word": windows.word[late, windows.order[late, at]]}))
-    needed = candidates.select("segment", "phrase").distinct().join(F.broadcast(others), "phrase").select("segment", "word").distinct()
+    needed = cut(candidates.select("segment", "phrase").distinct().join(F.broadcast(others), "phrase").select("segment", "word").distinct())
     hit_segments = candidates.select("segment").distinct()
-    rows = index.where("word is not null").join(needed, ["segment", "word"]).select("segment", "word", "postings", "at", "n", "row").union(
+    # the different words are a block's, so most of the index is left out where it is read, and only the rest meets its segments
+    words_needed = F.broadcast(needed.select("word").distinct())
+    rows = index.where("word is not null").join(words_needed, "word", "left_semi").join(needed, ["segment", "word"]).select("segment", "word", "postings", "at", "n", "row").union(
         index.where("word is null").join(hit_segments, "segment").select("segment", "word", "postings", "at", "n", "row")
     )
 
@@ -297,6 +302,8 @@ def search(index: DataFrame, items: list[tuple], window: int = WINDOW, rarest: i
                 b, e = merged(begin[lo:hi], end[lo:hi])
                 out.append((int(row[x]), (b - at[x]).tolist(), (e - at[x]).tolist(), sorted(w.items[o] for o in by_doc[x])))
         cols = list(zip(*out, strict=True)) or [()] * 4
+        del lists, table, docs
+        release()
         longs = pa.list_(pa.int64())
         return pa.table({"segment": pa.array([key[0].as_py()] * len(out), pa.int64()), "row": pa.array(cols[0], pa.int64()), "from": pa.array(cols[1], longs), "to": pa.array(cols[2], longs), "items": pa.array(cols[3], pa.list_(pa.string()))})
 
