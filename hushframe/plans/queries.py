@@ -13,7 +13,7 @@ from ..operators import exchange, formats, http, placeholders, policy
 from ..operators import select as S
 from ..sources import catalog as C
 from ..sources import texts
-from ..streaming import redaction
+from ..streaming import redaction, run
 from .corpora import secret_sql, seeded, seeded_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,6 +535,14 @@ def stream_responses(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("k", "body", v("location").alias("location"), F.array_join(F.transform("headers", lambda h: h["k"]), ",").alias("names"), v("x-key").alias("x_key"), "patterns_found")
 
 
+@query(f"""SELECT k, CASE WHEN k % 4 = 1 THEN 'Bearer ph-one-1234' ELSE 'Bearer secretvalue1' END AS auth, 'Authorization,X-Debug,X-Id,Cookie' AS names, CASE WHEN k % 4 = 1 THEN 'use ph-two-5678 and ' ELSE 'use secretvalue2 and ' END || {KEY.format(str="varchar")} AS body,
+CASE WHEN k % 4 = 1 THEN 0 ELSE 1 END AS replaced FROM ({MESSAGES}) m""")
+def stream_requests(spark: SparkSession, sf: str) -> DataFrame:
+    more = F.expr("array(struct('Connection' AS k, 'keep-alive' AS v), struct('TE' AS k, 'trailers' AS v))")
+    done = exchange.stream_requests(_exchanges(spark, sf).withColumn("headers", F.concat("headers", more)), POLICY)
+    return done.select("k", http.header(F.col("headers"), "Authorization").alias("auth"), F.array_join(F.transform("headers", lambda h: h["k"]), ",").alias("names"), "body", "replaced")
+
+
 @query("""SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 400 WHEN 1 THEN 405 WHEN 2 THEN 404 ELSE 200 END AS status, CASE WHEN c_custkey % 4 = 3 THEN CASE WHEN c_custkey % 8 = 3 THEN 'A=p1' || chr(10) || 'B=p2' || chr(10) ELSE '{"A":"p1","B":"p2"}' END END AS answer FROM customer""")
 def discovery(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.expr("CASE k % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST /placeholders HTTP/1.1' WHEN 2 THEN 'GET /other HTTP/1.1' ELSE 'GET /placeholders HTTP/1.1' END || CASE WHEN k % 8 = 7 THEN '\r\nAccept: application/json' ELSE '' END || '\r\n\r\n'")
@@ -596,3 +604,16 @@ def redact_chunked_bodies(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("key "), F.expr(KEY.format(str="string")), F.lit(" end"))
     rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k")).withColumn("raw", http.rechunk(text, 9))
     return D.redact(rows.withColumn("raw", http.dechunk(F.col("raw"))), "raw", "body").select("k", "body")
+
+
+@query("""SELECT conv_id AS stream_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS redacted, 0 AS patterns_found, TRUE AS done FROM conversations GROUP BY conv_id""")
+def stream_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as a streaming source, turns as chunks, through the stateful operator; the generated ones hold no secrets."""
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    ends = table.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    # a pattern, as a streaming source takes no path of a single file
+    turns = spark.readStream.schema(table.schema).parquet(f"{sf}/conversations.parque[t]").join(ends, "conv_id")
+    chunks = turns.select(F.col("conv_id").cast("long").alias("stream_id"), (F.col("turn") - F.col("first")).cast("long").alias("chunk_seq"), F.col("text").alias("data"), (F.col("turn") == F.col("last")).alias("is_eof"))
+    sent = run.to_table(redaction.redact_stream(chunks))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("out_seq", "redacted"))), lambda x: x["redacted"]), "")
+    return sent.groupBy("stream_id").agg(text.alias("redacted"), F.max("patterns_found").alias("patterns_found"), F.max("done").alias("done"))
