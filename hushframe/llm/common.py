@@ -41,6 +41,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def made() -> list[str]:
+    """The places that are still there, the newest last."""
+    return [path for _, path in _made]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -177,4 +182,4 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["BITS", "bit_place", "bit_table", "bits_at", "components", "cut", "drop_path", "keyed", "new_path", "parts", "shared_dir", "stored", "tidy", "with_rank", "without"]
+__all__ = ["BITS", "bit_place", "bit_table", "bits_at", "components", "cut", "drop_path", "keyed", "made", "new_path", "parts", "shared_dir", "stored", "tidy", "with_rank", "without"]

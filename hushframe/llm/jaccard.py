@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_place, bit_table, bits_at, components, cut, keyed, parts, stored, without
+from .common import bit_place, bit_table, bits_at, components, cut, keyed, parts, stored, tidy, without
 from .tokens import LOWER, NON_SPACE, buffers, hashes, mix, shingles, slices, words
 
 SIZE = 4
@@ -38,6 +38,8 @@ SKETCH = 512
 GROUP = 2000
 #: A node's smallest open signatures that go with it, by which a pair that meets in several of them comes out of the smallest.
 OWNERS = 16
+#: Passes over the signatures: each deals out its share of them, so the shuffle's files take that share of the room.
+TURNS = 2
 #: Signatures that a task holds to join equal ones before the shuffle; it bounds memory, not results.
 HELD = 800_000
 _U = np.uint64
@@ -165,8 +167,8 @@ def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sig, np.repeat(np.minimum.reduceat(node, at), np.diff(np.append(at, len(sig)))), node
 
 
-def star_edges(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(sig, a, b): the star of every signature that two nodes or more share, of ``docs`` (text)."""
+def star_edges(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(sig, a, b): the star of every signature that two nodes or more share, of ``docs`` (text); of one turn's signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -196,6 +198,9 @@ def star_edges(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
                 kept = fresh[text]
                 renamed = np.cumsum(fresh) - 1
                 sig, who = signatures(renamed[text[kept]], h[kept], node[fresh], count[fresh], percent)
+                if turns > 1:
+                    mine = sig % _U(turns) == turn
+                    sig, who = sig[mine], who[mine]
                 held.append((sig, who))
                 n += len(sig)
                 if n > HELD:
@@ -262,8 +267,8 @@ def _possible(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _cross(who: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of members (sig, node, part) of one signature in different parts that sizes and sketches do not exclude.
+def _cross(who: DataFrame, sized: DataFrame, percent: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """Pairs (a, b), a < b, of members (sig, node, part) of one signature in different parts that sizes and sketches do not exclude; of one turn's signatures.
 
     Members of a signature are compared in one task without making rows of pairs; only what may be similar comes out. Similar sets share
     many signatures. Each member knows its ``OWNERS`` smallest ones; a pair that is seen to share a smaller signature than the
@@ -271,6 +276,7 @@ def _cross(who: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     spark = who.sparkSession
     low = who.groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("all")).select("node", F.slice(F.concat("all", F.array_repeat(F.lit(_LAST), OWNERS)), 1, OWNERS).alias("low"))
     about = low.join(sized.select(F.col("node").alias("nd"), "n", "sketch"), F.col("node") == F.col("nd")).drop("nd")
+    who = who.where(F.pmod("sig", F.lit(turns)) == turn)
     members = who.join(about, "node")
     sizes = who.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP).select(F.col("sig").alias("large"), F.ceil(F.col("size") / GROUP).cast("int").alias("k"))
     dealt = members.join(sizes, F.col("sig") == F.col("large"), "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
@@ -370,10 +376,12 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     component_id is the smallest doc_id that links reach. Null, empty and blank texts have no shingle and link with nothing,
     and so stand for themselves. Rows of one text link whatever their ids; repeated rows are rows of their own. Null ids link as others
     do and never are the smallest one, unless there is no other. Other columns are ignored."""
-    docs = docs.select("doc_id", "text")
+    docs, spark = docs.select("doc_id", "text"), docs.sparkSession
     rows = stored(nodes_of(docs, size), "nodes")
     sized = cut(rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    edges = stored(star_edges(docs, size, percent), "stars")
+    edges = stored(star_edges(docs, size, percent, 0, TURNS), "stars")
+    for turn in range(1, TURNS):
+        edges = edges.union(stored(star_edges(docs, size, percent, turn, TURNS), "stars"))
     pairs = cut(_possible(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).select("a", "b"), sized, percent))
     links = cut(_verified(pairs, docs, sized, size, percent))
     parents = components(links)
@@ -387,7 +395,11 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     open_ = cut(labelled(edges, "a", "b").where("of_a <> of_b").select("sig").distinct())
     held = edges.join(open_, "sig")
     who = cut(labelled(held.select("sig", F.col("a").alias("x")).union(held.select("sig", "b")).distinct(), "x").select("sig", F.col("x").alias("node"), F.col("of_x").alias("part")))
-    rest = cut(_cross(who, sized, percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    rest = cut(_cross(who, sized, percent, 0, TURNS))
+    for turn in range(1, TURNS):
+        tidy(spark)
+        rest = rest.union(cut(_cross(who, sized, percent, turn, TURNS)))
+    rest = cut(rest.distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = cut(_verified(rest, docs, sized, size, percent))
         if not more.isEmpty():

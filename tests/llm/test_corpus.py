@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import spark_rows, sql_rows
-from hushframe.llm import decontam, html, jaccard, licenses, neardup, packing, pii, queries, sharding, tokens, toxicity, warc
+from hushframe.llm import common, decontam, html, jaccard, licenses, neardup, packing, pii, queries, sharding, tokens, toxicity, warc
 from hushframe.llm.common import components, with_rank, without
 
 SF = "/root/testdata/sf0.001"
@@ -667,6 +667,11 @@ def test_pipeline(spark, tmp_path):
     assert not any(base_spans(t) for t in left.values())
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert {r["doc_id"] for r in packed.collect()} == set(left)
+    there = set(common.made())
+    whole = corpus_pipeline.run(spark, SF)
+    assert len(set(common.made()) - there) == 1 and there <= set(common.made())
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, whole.select(*key).collect())) == sorted(map(tuple, packed.select(*key).collect()))
 
 
 def test_stages_on_odd_tables(spark, odd):
