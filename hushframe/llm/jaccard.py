@@ -12,7 +12,7 @@ have two empty parts leaves the signatures of empty parts out: it shares another
 Signatures meet without pairs: a task joins the sets of a signature to the smallest of them, sends that one on, and the shuffle
 does the same with the tasks' smallest. Each signature's members thus form a star, of as many edges as members. Stars'
 edges are verified on whole texts. Where an edge of a signature's star fails and its ends are not connected otherwise,
-all its members of different components are compared too, so no link between components is lost. Before texts are
+all its members of different components are compared too, if there are more than these two, so no link between components is lost. Before texts are
 fetched, a count sketch gives an upper bound of each pair's intersection; what it excludes cannot be similar.
 """
 
@@ -391,8 +391,9 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
             df = df.join(parents.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
         return df
 
-    # signatures whose stars hold several components: every two members of different components
-    open_ = cut(labelled(edges, "a", "b").where("of_a <> of_b").select("sig").distinct())
+    # signatures whose stars hold several components: every two members of different components; where there is one edge, that pair is known
+    several = labelled(edges, "a", "b").groupBy("sig").agg(F.count(F.lit(1)).alias("edges"), F.max(F.col("of_a") != F.col("of_b")).alias("open"))
+    open_ = cut(several.where("edges > 1 AND open").select("sig"))
     held = edges.join(open_, "sig")
     who = cut(labelled(held.select("sig", F.col("a").alias("x")).union(held.select("sig", "b")).distinct(), "x").select("sig", F.col("x").alias("node"), F.col("of_x").alias("part")))
     rest = cut(_cross(who, sized, percent, 0, TURNS))
