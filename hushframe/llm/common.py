@@ -73,6 +73,7 @@ def tidy(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet into the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    tidy(spark)  # the caller still held the table of the step before when that was written
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     tidy(spark)

@@ -382,6 +382,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     edges = stored(star_edges(docs, size, percent, 0, TURNS), "stars")
     for turn in range(1, TURNS):
         edges = edges.union(stored(star_edges(docs, size, percent, turn, TURNS), "stars"))
+    tidy(spark)
     pairs = cut(_possible(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).select("a", "b"), sized, percent))
     links = cut(_verified(pairs, docs, sized, size, percent))
     parents = components(links)
