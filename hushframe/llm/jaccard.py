@@ -32,7 +32,7 @@ SIZE = 4
 PERCENT = 85
 #: The same for the pipeline's stage.
 STAGE_SIZE = 5
-STAGE_PERCENT = 80
+STAGE_PERCENT = 85
 SKETCH = 512
 #: Members of a signature that one task compares; more are dealt into blocks, and pairs of blocks are compared.
 GROUP = 2000
@@ -277,10 +277,11 @@ def _cross(who: DataFrame, sized: DataFrame, percent: int, turn: int = 0, turns:
     low = who.groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("all")).select("node", F.slice(F.concat("all", F.array_repeat(F.lit(_LAST), OWNERS)), 1, OWNERS).alias("low"))
     about = low.join(sized.select(F.col("node").alias("nd"), "n", "sketch"), F.col("node") == F.col("nd")).drop("nd")
     who = who.where(F.pmod("sig", F.lit(turns)) == turn)
-    members = who.join(about, "node")
     sizes = who.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP).select(F.col("sig").alias("large"), F.ceil(F.col("size") / GROUP).cast("int").alias("k"))
-    dealt = members.join(sizes, F.col("sig") == F.col("large"), "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "n", "sketch", "low")
+    dealt = who.join(sizes, F.col("sig") == F.col("large"), "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part")
+    # sketches come last, so that they are dealt out once
+    rows = blocks.join(about, "node").select("sig", "i", "j", "block", "node", "part", "n", "sketch", "low")
 
     def pairs(sig: int, group: tuple[np.ndarray, ...]) -> np.ndarray:
         i, j, block, node, part, n, sketch, low = group
@@ -419,7 +420,7 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group, by five-word shingles and a similarity of 80 % or more, one row stays, that of the smallest id (a null one comes
+    """Pipeline stage: of each group, by five-word shingles and a similarity of 85 % or more, one row stays, that of the smallest id (a null one comes
     last), and those that link with nothing.
 
     Rows go by themselves: one that shares its id with a row that goes stays, and of repeated rows one stays."""
