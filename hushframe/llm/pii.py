@@ -14,6 +14,12 @@ a quarter), is generalised in the record's documents; one that leaves no more th
 documents lacks in evidence: one that stands in a single document leaves one bit. Words that many documents use reveal little of a record, however
 often they stand beside an entity. Documents without an entity have no record and stay as they are.
 
+An entity that stands in documents with different other entities is part of several records, and what a term reveals of it is dealt out over them: a name
+that always stands beside one email tells little of any record if each document has a phone number of its own. With ``each``, terms are
+therefore held against every entity of their document as well, by the same counts and limits, df(r) and co(r, t) being of the entity; a term goes by the
+strictest that it meets. An entity of a single record has that record's counts, and entities of the same records have the same counts, so only
+sets of entities that several records have in common are counted besides.
+
 Matches come with the texts between them (the same pattern splits the text), whose lengths add up to offsets in code points.
 The patterns are the contract's with possessive repeats and starts only where a run begins or a match has ended; they match the
 same strings in time linear in the text.
@@ -108,46 +114,74 @@ def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
 
 
+def _entity() -> Column:
+    return F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("value")).when(F.col("kind").isin("ip", "secret"), F.col("value")).otherwise(_digits(F.col("value"))))
+
+
 def records(base: DataFrame) -> DataFrame:
     """(u, record): the entities of each document that has any, together."""
-    entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("value")).when(F.col("kind").isin("ip", "secret"), F.col("value")).otherwise(_digits(F.col("value"))))
-    return base.groupBy(F.col("uid").alias("u")).agg(F.xxhash64(F.array_sort(F.collect_set(entity))).alias("record"))
+    return base.groupBy(F.col("uid").alias("u")).agg(F.xxhash64(F.array_sort(F.collect_set(_entity()))).alias("record"))
+
+
+def in_common(base: DataFrame, known: DataFrame) -> DataFrame:
+    """(record, subject): the entities that more than one record has, one subject for all entities of the same records."""
+    members = base.join(known, F.col("uid") == F.col("u")).select("record", F.xxhash64(_entity()).alias("entity")).distinct()
+    same = members.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("record")).alias("x"), F.bit_xor(F.xxhash64("record", F.lit(1))).alias("y")).where("n > 1")
+    one = same.groupBy("n", "x", "y").agg(F.min("entity").alias("subject")).select("subject")
+    return members.join(one, F.col("entity") == F.col("subject")).select("record", "subject")
 
 
 def occurrences(light: DataFrame, known: DataFrame) -> DataFrame:
-    """(uid, doc_id, key, record, term, start, end) of every term of the documents that have a record."""
+    """(uid, doc_id, key, record, term, start, end) of every term of the documents that have a record, with what else ``known`` says of it."""
+    more = [c for c in known.columns if c not in ("u", "record")]
     held = light.where("text is not null").select("uid", "doc_id", "key", "text").join(known, F.col("uid") == F.col("u"))
     gaps = F.transform(F.split("text", TERM, -1), lambda g: F.length(g))
     words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
-    each = held.select("uid", "doc_id", "key", "record", F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("pos", "x")).select("uid", "doc_id", "key", "record", "pos", "x.word", "x.gap").where("word is not null")
+    each = held.select("uid", "doc_id", "key", "record", *more, F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("pos", "x")).select("uid", "doc_id", "key", "record", *more, "pos", "x.word", "x.gap").where("word is not null")
     size = F.length("word")
     end = F.sum(F.col("gap") + size).over(Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return each.withColumn("end", end).select("uid", "doc_id", "key", "record", F.lower("word").alias("term"), (F.col("end") - size).alias("start"), "end")
+    return each.withColumn("end", end).select("uid", "doc_id", "key", "record", *more, F.lower("word").alias("term"), (F.col("end") - size).alias("start"), "end")
 
 
-def revealing(docs: DataFrame, light: DataFrame, base: DataFrame, text_col: str) -> DataFrame:
-    """(uid, doc_id, key, kind_no, kind, value, start, end): terms that reveal too much of their document's record."""
+def revealing(docs: DataFrame, light: DataFrame, base: DataFrame, text_col: str, each: bool = False) -> DataFrame:
+    """(uid, doc_id, key, kind_no, kind, value, start, end): terms that reveal too much of their document's record or, with ``each``, of one of its entities."""
     known = cut(records(base))
+    common = cut(in_common(base, known)) if each else None
+    each = common is not None and not common.isEmpty()
+    if each:  # which records have something in common goes with their terms, so that the others' are not looked at again
+        known = cut(known.join(common.select("record", F.lit(True).alias("shared")).distinct(), "record", "left").select("u", "record", F.coalesce("shared", F.lit(False)).alias("shared")))
     near = stored(occurrences(light, known), "terms")
     held = near.select("uid", "record", "term").distinct()
     joint = held.groupBy("record", "term").agg(F.count(F.lit(1)).alias("co"))
     of_record = known.groupBy("record").agg(F.count(F.lit(1)).alias("df_r"))
+    if each:
+        # a document has one record, so the counts of what records have in common are sums of theirs
+        pairs = near.where("shared").select("uid", "record", "term").distinct().groupBy("record", "term").agg(F.count(F.lit(1)).alias("co"))
+        pairs = stored(pairs.join(common, "record"), "pairs")
+        whole = F.lit(False).alias("one")
+        joint = joint.select(whole, "record", "term", "co").union(pairs.groupBy(F.lit(True).alias("one"), F.col("subject").alias("record"), "term").agg(F.sum("co").alias("co")))
+        of_record = of_record.select(whole, "record", "df_r").union(of_record.join(common, "record").groupBy(F.lit(True).alias("one"), F.col("subject").alias("record")).agg(F.sum("df_r").alias("df_r")))
+    subject = ["one", "record"] if each else ["record"]
     of_term = docs.select(F.explode(F.array_distinct(_terms(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     total = F.lit(float(light.count()))
     ic = F.log2(total / F.col("df_r"))
-    told = joint.join(of_record, "record").join(of_term, "term").select(
-        "record", "term", F.least(QUARTER * ic, F.greatest(F.lit(BIT), TENTH * ic)).alias("most"), F.log2((F.col("df_t") + SMOOTHING) / F.col("co")).alias("unknown"), (ic > 0).alias("some")
+    told = joint.join(of_record, subject).join(of_term, "term").select(
+        *subject, "term", F.least(QUARTER * ic, F.greatest(F.lit(BIT), TENTH * ic)).alias("most"), F.log2((F.col("df_t") + SMOOTHING) / F.col("co")).alias("unknown"), (ic > 0).alias("some")
     )
-    chosen = told.where("some AND unknown <= most").select("record", "term", (F.col("unknown") <= REMOVE * F.col("most")).alias("remove"))
+    chosen = told.where("some AND unknown <= most").select(*subject, "term", (F.col("unknown") <= REMOVE * F.col("most")).alias("remove"))
+    if each:
+        chosen = cut(chosen)
+        of_one = chosen.where("one").select(F.col("record").alias("subject"), "term", "remove")
+        chosen = chosen.where("NOT one").drop("one").union(pairs.join(of_one, ["subject", "term"]).select("record", "term", "remove")).groupBy("record", "term").agg(F.bool_or("remove").alias("remove"))
     return near.join(cut(chosen), ["record", "term"]).select(
         "uid", "doc_id", "key", F.when(F.col("remove"), TO_REMOVE).otherwise(TO_GENERALISE).alias("kind_no"), F.when(F.col("remove"), F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"), F.col("term").alias("value"), "start", "end"
     )
 
 
-def spans(docs: DataFrame, light: DataFrame, text_col: str = "text") -> DataFrame:
+def spans(docs: DataFrame, light: DataFrame, text_col: str = "text", each: bool = False) -> DataFrame:
     """All spans of the scanned documents: the entities, and revealing terms that overlap none of them."""
     base = stored(base_spans(light), "base")
-    extra = revealing(docs, light, base, text_col)
+    extra = revealing(docs, light, base, text_col, each)
     kept = ["uid", "doc_id", "key", "kind_no", "kind", "value", "start", "end"]
     both = base.select(*kept).union(extra.select(*kept))
     is_base = F.col("kind_no") <= SECRET
@@ -157,12 +191,14 @@ def spans(docs: DataFrame, light: DataFrame, text_col: str = "text") -> DataFram
     return stored(both.withColumns({"last": last, "following": following}).where(is_base | ((F.coalesce("last", F.lit(0)) <= F.col("start")) & (F.coalesce("following", F.col("end")) >= F.col("end")))).select(*kept), "spans")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", each: bool = False) -> DataFrame:
     """One row a document: id, counts by kind, digest of the base spans, the list of all spans, and their number.
 
+    ``each``: terms are held against every entity of their document as well as against its record.
+
     Null and empty texts have none. Rows of one id are rows of their own; other columns are ignored."""
     light = stored(scan(docs, id_col, text_col), "scan")
-    found = spans(docs, light, text_col)
+    found = spans(docs, light, text_col, each)
     item = F.struct("start", "kind_no", F.concat_ws(":", "kind", "start", "end").alias("s"))
     text = lambda items: F.array_join(F.transform(F.array_sort(items), lambda x: x["s"]), ",")
     by_doc = found.groupBy("uid").agg(
@@ -175,13 +211,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", each: bool = False) -> DataFrame:
     """``docs`` with its texts sanitised: entities become [KIND], terms to generalise [TERM], terms to remove go. Other columns stay.
 
+    ``each``: as in ``find``.
+
     Null texts stay null. Texts without a match are not moved; only the others are joined with their spans. Rows of one id and one text get the same
     text; rows of one id and different texts each their own."""
     light = stored(scan(docs, id_col, text_col), "scan")
-    found = spans(docs, light, text_col)
+    found = spans(docs, light, text_col, each)
     # one set of spans for each different (id, text); overlapping ones are covered together
     one = found.groupBy("doc_id", "key").agg(F.min("uid").alias("u")).select(F.col("u").alias("uid"))
     rows = found.join(one, "uid")
@@ -204,12 +242,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), each=True)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, sanitised."""
-    return sanitise(docs)
+    """Pipeline stage: every document stays, sanitised; terms are held against its record and each of its entities."""
+    return sanitise(docs, each=True)
 
 
 def _sql() -> str:
@@ -247,3 +285,22 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha
 
 
 ORACLE_SQL = _sql()
+
+
+def _entities_sql() -> str:
+    """The whole rule of ``op1_pii``: a document's record and each of its entities are its subjects. ORACLE_SQL knows records only; both say the same of
+    tables in which no entity is part of two records."""
+    sql = ORACLE_SQL
+    for old, new in (
+        ("occ AS (SELECT doc_id, record, ", "sub AS (SELECT doc_id, 'all ' || record AS record FROM rec UNION SELECT doc_id, 'one ' || entity FROM base),\nocc AS (SELECT doc_id, sub.record, term, n, e FROM (SELECT doc_id, "),
+        (" AS e FROM w),", " AS e FROM w) JOIN sub USING (doc_id)),"),
+        ("AS df_r FROM rec GROUP BY 1", "AS df_r FROM sub GROUP BY 1"),
+        (f"e - n AS s, e, unknown <= {REMOVE}::DOUBLE * most AS remove", f"e - n AS s, e, bool_or(unknown <= {REMOVE}::DOUBLE * most) AS remove"),
+        ("WHERE unknown <= most)", "WHERE unknown <= most GROUP BY doc_id, e - n, e)"),
+    ):
+        assert sql.count(old) == 1, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+ENTITIES_SQL = _entities_sql()

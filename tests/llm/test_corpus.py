@@ -170,6 +170,27 @@ def test_pii_adds_spans_to_given_tables(spark):
     assert found.where("n_spans > 0 AND n_email + n_ip + n_card + n_phone = 0 AND NOT spans LIKE '%secret:%'").count() == 0
 
 
+def test_pii_terms_of_entities_in_several_records(spark, tmp_path):
+    """Each document has a phone number of its own beside the email that its name goes with, so no two have the same record."""
+    draw = random.Random(3)
+    line = lambda: " ".join("w" + "".join(draw.choice("abcdefgh") for _ in range(3)) for _ in range(20))
+    rows = [(i, f"{line()} Zorblax {line()} a@b.example, f@g.example, +1 (663) 555-{1000 + i}") for i in range(6)] + [(6, f"Mumblo 10.1.2.3 c@d.example Zorblax +1 663 555 {1000 + 4}"), (7, "Mumblo 10.1.2.3"), (8, "c@d.example Quux"), (9, None)]
+    rows += [(20 + i, line()) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    found = pii.op1_pii(spark, str(tmp_path))
+    assert spark_rows(found) == sql_rows(pii.ENTITIES_SQL, str(tmp_path))
+    spans = {r["doc_id"]: r["spans"] for r in found.collect()}
+    for i, name in [*((i, "Zorblax") for i in range(6)), (6, "Mumblo"), (7, "Mumblo")]:
+        at = dict(rows)[i].index(name)
+        assert re.search(f"(?:generalise|remove):{at}:{at + len(name)}(?:,|$)", spans[i])
+    clean = {r["doc_id"]: r["text"] for r in pii.stage(spark, table, SF).collect()}
+    assert not any("Zorblax" in clean[i] for i in range(6)) and clean[20] == dict(rows)[20] and clean[9] is None
+    by_record = {r["doc_id"]: set(r["spans"].split(",")) for r in pii.find(table).collect()}
+    at = lambda x: {s.split(":", 1)[1] for s in x if s}
+    assert all(at(by_record[i]) <= at(spans[i].split(",")) for i in by_record)
+
+
 # 2 vectors
 
 
