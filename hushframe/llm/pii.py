@@ -20,6 +20,11 @@ therefore held against every entity of their document as well, by the same count
 strictest that it meets. An entity of a single record has that record's counts, and entities of the same records have the same counts, so only
 sets of entities that several records have in common are counted besides.
 
+A record of many such sets and many terms is not multiplied out. Where terms times sets are more than LARGE times their sum, the record is a large one. Sets
+that have the same large records have the same counts in them, so these are counted once for all such sets, under the fewest documents that any of them has; only small
+records meet each of their sets. A term that stands beside a set in large records alone reveals most of the set of the fewest documents, which stands
+in the same large records; for any other, the two counts are added up. So the result is that of holding every term against every entity.
+
 Matches come with the texts between them (the same pattern splits the text), whose lengths add up to offsets in code points.
 The patterns are the contract's with possessive repeats and starts only where a run begins or a match has ended; they match the
 same strings in time linear in the text.
@@ -39,6 +44,8 @@ SMOOTHING = 1.0
 QUARTER, TENTH, BIT = 0.25, 0.1, 1.0
 #: The part of that up to which it is removed.
 REMOVE = 0.6
+#: A record is large where terms times sets of entities are more than this times their sum.
+LARGE = 16
 #: The kinds that a document's counts and digest are of, by their numbers.
 KINDS = ("email", "ip", "card", "phone")
 #: Numbers of the kinds that the method adds: secrets, and terms to generalise or to remove.
@@ -119,16 +126,35 @@ def _entity() -> Column:
 
 
 def records(base: DataFrame) -> DataFrame:
-    """(u, record): the entities of each document that has any, together."""
-    return base.groupBy(F.col("uid").alias("u")).agg(F.xxhash64(F.array_sort(F.collect_set(_entity()))).alias("record"))
+    """(u, record, df): the entities of each document that has any, together, and the number of documents that have the same."""
+    one = base.groupBy(F.col("uid").alias("u")).agg(F.xxhash64(F.array_sort(F.collect_set(_entity()))).alias("record"))
+    return one.join(one.groupBy("record").agg(F.count(F.lit(1)).alias("df")), "record").select("u", "record", "df")
 
 
 def in_common(base: DataFrame, known: DataFrame) -> DataFrame:
-    """(record, subject): the entities that more than one record has, one subject for all entities of the same records."""
-    members = base.join(known, F.col("uid") == F.col("u")).select("record", F.xxhash64(_entity()).alias("entity")).distinct()
+    """(record, df, subject): the entities that more than one record has, one subject for all entities of the same records."""
+    members = base.join(known, F.col("uid") == F.col("u")).select("record", "df", F.xxhash64(_entity()).alias("entity")).distinct()
     same = members.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("record")).alias("x"), F.bit_xor(F.xxhash64("record", F.lit(1))).alias("y")).where("n > 1")
     one = same.groupBy("n", "x", "y").agg(F.min("entity").alias("subject")).select("subject")
-    return members.join(one, F.col("entity") == F.col("subject")).select("record", "subject")
+    return members.join(one, F.col("entity") == F.col("subject")).select("record", "df", "subject")
+
+
+def beside(pairs: DataFrame, common: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The terms of ``pairs`` (record, term, co) beside the subjects of ``common``, whose large records are not multiplied out.
+
+    First (record, term, co, subject, df, head) of the small records. Then (record, term, co, head, df) of the large ones, where a head stands for all subjects
+    with the same large records, and df is the least of theirs. df are documents of a subject, its head is null if it has no large record."""
+    size = common.groupBy("record").agg(F.count(F.lit(1)).cast("double").alias("k")).join(pairs.groupBy("record").agg(F.count(F.lit(1)).cast("double").alias("t")), "record")
+    links = cut(common.join(size.select("record", (F.col("k") * F.col("t") > LARGE * (F.col("k") + F.col("t"))).alias("large")), "record"))
+    of_large = lambda *x: F.when(F.col("large"), F.xxhash64("record", *x))
+    n, x, y = F.count(of_large()), F.bit_xor(of_large()), F.bit_xor(of_large(F.lit(1)))
+    # records without a term have no pairs, but count among a subject's documents
+    subjects = common.groupBy("subject").agg(F.sum("df").alias("df")).join(links.groupBy("subject").agg(F.when(n > 0, F.xxhash64(n, x, y)).alias("head")), "subject")
+    subjects = cut(subjects)
+    small = links.where("NOT large").select("record", "subject").join(subjects, "subject")
+    heads = subjects.where("head IS NOT NULL").groupBy("head").agg(F.min("subject").alias("subject"), F.min("df").alias("df"))
+    large = links.where("large").select("record", "subject").join(heads, "subject").drop("subject")
+    return stored(pairs.join(small, "record"), "small"), stored(pairs.join(large, "record"), "large")
 
 
 def occurrences(light: DataFrame, known: DataFrame) -> DataFrame:
@@ -149,30 +175,35 @@ def revealing(docs: DataFrame, light: DataFrame, base: DataFrame, text_col: str,
     common = cut(in_common(base, known)) if each else None
     each = common is not None and not common.isEmpty()
     if each:  # which records have something in common goes with their terms, so that the others' are not looked at again
-        known = cut(known.join(common.select("record", F.lit(True).alias("shared")).distinct(), "record", "left").select("u", "record", F.coalesce("shared", F.lit(False)).alias("shared")))
+        known = cut(known.join(common.select("record", F.lit(True).alias("shared")).distinct(), "record", "left").select("u", "record", "df", F.coalesce("shared", F.lit(False)).alias("shared")))
     near = stored(occurrences(light, known), "terms")
-    held = near.select("uid", "record", "term").distinct()
-    joint = held.groupBy("record", "term").agg(F.count(F.lit(1)).alias("co"))
-    of_record = known.groupBy("record").agg(F.count(F.lit(1)).alias("df_r"))
+    count = lambda rows: rows.select("uid", "record", "df", "term").distinct().groupBy("record", "df", "term").agg(F.count(F.lit(1)).alias("co"))
+    none = F.lit(None).cast("long")
+    joint = count(near).select(F.lit("record").alias("of"), F.col("record").alias("subject"), "df", none.alias("head"), "term", "co")
     if each:
         # a document has one record, so the counts of what records have in common are sums of theirs
-        pairs = near.where("shared").select("uid", "record", "term").distinct().groupBy("record", "term").agg(F.count(F.lit(1)).alias("co"))
-        pairs = stored(pairs.join(common, "record"), "pairs")
-        whole = F.lit(False).alias("one")
-        joint = joint.select(whole, "record", "term", "co").union(pairs.groupBy(F.lit(True).alias("one"), F.col("subject").alias("record"), "term").agg(F.sum("co").alias("co")))
-        of_record = of_record.select(whole, "record", "df_r").union(of_record.join(common, "record").groupBy(F.lit(True).alias("one"), F.col("subject").alias("record")).agg(F.sum("df_r").alias("df_r")))
-    subject = ["one", "record"] if each else ["record"]
+        small, large = beside(stored(count(near.where("shared")).drop("df"), "pairs"), common)
+        of_head = large.groupBy("head", "df", "term").agg(F.sum("co").alias("co"))
+        more = of_head.select("head", "term", F.col("co").alias("more"))
+        of_subject = small.groupBy("subject", "df", "head", "term").agg(F.sum("co").alias("co")).join(more, ["head", "term"], "left").withColumn("co", F.col("co") + F.coalesce("more", F.lit(0)))
+        joint = joint.union(of_subject.select(F.lit("subject"), "subject", "df", "head", "term", "co")).union(of_head.select(F.lit("head"), none, "df", "head", "term", "co"))
     of_term = docs.select(F.explode(F.array_distinct(_terms(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     total = F.lit(float(light.count()))
-    ic = F.log2(total / F.col("df_r"))
-    told = joint.join(of_record, subject).join(of_term, "term").select(
-        *subject, "term", F.least(QUARTER * ic, F.greatest(F.lit(BIT), TENTH * ic)).alias("most"), F.log2((F.col("df_t") + SMOOTHING) / F.col("co")).alias("unknown"), (ic > 0).alias("some")
+    ic = F.log2(total / F.col("df"))
+    told = joint.join(of_term, "term").select(
+        "of", "subject", "head", "term", F.least(QUARTER * ic, F.greatest(F.lit(BIT), TENTH * ic)).alias("most"), F.log2((F.col("df_t") + SMOOTHING) / F.col("co")).alias("unknown"), (ic > 0).alias("some")
     )
-    chosen = told.where("some AND unknown <= most").select(*subject, "term", (F.col("unknown") <= REMOVE * F.col("most")).alias("remove"))
+    chosen = told.where("some AND unknown <= most").select("of", "subject", "head", "term", (F.col("unknown") <= REMOVE * F.col("most")).alias("remove"))
+    of_record = lambda rows: rows.where("of = 'record'").select(F.col("subject").alias("record"), "term", "remove")
+    strictest = F.bool_or("remove").alias("remove")
     if each:
         chosen = cut(chosen)
-        of_one = chosen.where("one").select(F.col("record").alias("subject"), "term", "remove")
-        chosen = chosen.where("NOT one").drop("one").union(pairs.join(of_one, ["subject", "term"]).select("record", "term", "remove")).groupBy("record", "term").agg(F.bool_or("remove").alias("remove"))
+        in_small = small.join(chosen.where("of = 'subject'").select("subject", "term", "remove"), ["subject", "term"])
+        in_large = large.join(chosen.where("head IS NOT NULL").groupBy("head", "term").agg(strictest), ["head", "term"])
+        kept = ["record", "term", "remove"]
+        chosen = of_record(chosen).union(in_small.select(kept)).union(in_large.select(kept)).groupBy("record", "term").agg(strictest)
+    else:
+        chosen = of_record(chosen)
     return near.join(cut(chosen), ["record", "term"]).select(
         "uid", "doc_id", "key", F.when(F.col("remove"), TO_REMOVE).otherwise(TO_GENERALISE).alias("kind_no"), F.when(F.col("remove"), F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"), F.col("term").alias("value"), "start", "end"
     )

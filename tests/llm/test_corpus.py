@@ -191,6 +191,46 @@ def test_pii_terms_of_entities_in_several_records(spark, tmp_path):
     assert all(at(by_record[i]) <= at(spans[i].split(",")) for i in by_record)
 
 
+def test_pii_lists_of_entities_are_not_multiplied_out(spark, tmp_path, monkeypatch):
+    """Two lists of names and emails, and a document for each of them: no table has a row for every email and every name of a list."""
+    name = lambda i: "n" + "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+    both = ". ".join(f"{name(i)} at m{i}@list.example" for i in range(80))
+    rows = [(1, both), (2, f"{both}. Later +1 (663) 555-1000"), *((10 + i, f"{name(i)} has m{i}@list.example or +1 (663) 555-{2000 + i}") for i in range(80)), *((200 + i, f"nothing {name(500 + i)}") for i in range(300))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    made, stored = {}, pii.stored
+
+    def counted(df, name):
+        df = stored(df, name)
+        made[name] = df.count()
+        return df
+
+    monkeypatch.setattr(pii, "stored", counted)
+    found = pii.op1_pii(spark, str(tmp_path))
+    assert max(made.values()) <= 2 * made["terms"]
+    assert spark_rows(found) == sql_rows(pii.ENTITIES_SQL, str(tmp_path))
+    text = dict(rows)
+    for r in found.where("doc_id BETWEEN 10 AND 89").collect():
+        assert re.search(r"(?:generalise|remove):0:4(?:,|$)", r["spans"]), text[r["doc_id"]]
+
+
+@pytest.mark.parametrize("large", [0, 0.6, 16])
+def test_pii_large_records(spark, tmp_path, monkeypatch, large):
+    """Whatever records count as large, the spans are those of the whole rule: here all, some and none."""
+    monkeypatch.setattr(pii, "LARGE", large)
+    draw = random.Random(6)
+    word = lambda n: "w" + "".join("abcdefgh"[int(c)] for c in f"{draw.randrange(n):03o}")
+    entity = lambda: draw.choice([f"e{draw.randrange(6)}@x.example", f"10.0.0.{draw.randrange(4)}", f"+1 (663) 555-{1000 + draw.randrange(60)}", "1@2.3"])
+    rows = [(i, " ".join(draw.choice([entity, lambda: word(60)])() for _ in range(draw.randrange(1, 16)))) for i in range(70)]
+    rows += [(100 + i, text) for i, (_, text) in enumerate(rows[:15])] + [(150, "1@2.3"), (151, "1@2.3 +1 (663) 555-9000"), (152, None)]
+    rows += [(200 + i, " ".join(word(512) for _ in range(5))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes, beside = [], pii.beside
+    monkeypatch.setattr(pii, "beside", lambda *x: [sizes.append(t.count()) or t for t in beside(*x)])
+    found = spark_rows(pii.op1_pii(spark, str(tmp_path)))
+    assert found == sql_rows(pii.ENTITIES_SQL, str(tmp_path)) != sql_rows(pii.ORACLE_SQL, str(tmp_path))
+    assert [n > 0 for n in sizes] == [large > 0, large < 16]
+
+
 # 2 vectors
 
 
