@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, tidy
+from .common import tidy
 from .tokens import ALNUM, LOWER, buffers, hashes, mix, owners, slices, words
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -125,33 +125,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 
     Without a toxic row the model calls everything clean. Of rows that share an id one text is taken."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = cut(
-        docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct().join(known, "doc_id", "left")
-        .groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.col("doc_id"), F.xxhash64("doc_id")).alias("any"))
-    ).collect()  # three rows
-    n = {r["toxic"]: r["n"] for r in ids}
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct().join(known, "doc_id", "left")
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows
     rest = F.col("toxic").isNull() if n.get(None) else F.col("toxic") == 0
     prior = n.get(1, 0) / max(1, n.get(1, 0) + n.get(0, 0))
     if not n.get(1) or not (n.get(None) or n.get(0)):
         return train(np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 2, np.zeros(0), np.array([True] * n.get(1, 0) + [False] * (n.get(0, 0) > 0), bool), prior)
-    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id").distinct().join(known, "doc_id", "left").where("doc_id is not null")
-    some = lambda which, most: rows.where(which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = cut(some(F.col("toxic") == 1, max_positive).union(some(rest, max_unlabelled)).select("doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"), F.monotonically_increasing_id().alias("row")))
     # a bounded number of ids: max_positive + max_unlabelled
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("row", "toxic").agg(F.max("text").alias("text"))
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    some = lambda which, most: rows.where(which).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow()
+    toxic_ids, other_ids = some(F.col("toxic") == 1, max_positive), some(rest, max_unlabelled)
+    n_p, n_u = len(toxic_ids), len(other_ids)
+    toxic = np.arange(n_p + n_u) < n_p
+    chosen = pa.concat_tables([toxic_ids, other_ids]).append_column("row", pa.array(np.arange(n_p + n_u)))
+    # The sample is read twice, so that its entries are never a table: executors start a process for each file that they write, and such a process
+    # holds the executor's memory a second time until it has replaced itself.
+    sample = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame(chosen)), "doc_id").groupBy("row").agg(F.max("text").alias("text")).repartition(24, "row")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                text, feature, count, n_words = features(batch.column("text"))
-                value = weight(count, n_words[text]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(text)), batch.column("toxic").take(pa.array(text)), pa.array(feature.astype(np.int32)), pa.array(value)], names=["row", "toxic", "feature", "value"])
+                text, feature, _, _ = features(batch.column("text"))
+                one, at = np.unique(feature, return_inverse=True)
+                p = np.bincount(at, batch.column("row").to_numpy()[text] < n_p, len(one)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int32)), pa.array(p), pa.array(np.bincount(at, minlength=len(one)) - p)], names=["feature", "p", "u"])
 
-    found = stored(sample.repartition(24, "row").mapInArrow(entries, "row long, toxic boolean, feature int, value float"), "sample")
-    marks = sorted((r["row"], r["toxic"]) for r in chosen.select("row", "toxic").collect())
-    ids, toxic = np.array([m[0] for m in marks]), np.array([m[1] for m in marks], bool)
-    n_p, n_u = int(toxic.sum()), int((~toxic).sum())
-    seen = found.groupBy("feature").agg(F.sum(F.col("toxic").cast("int")).alias("p"), F.sum((~F.col("toxic")).cast("int")).alias("u"))
+    seen = sample.mapInArrow(counts, "feature int, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     # log-likelihood ratio of the two document rates, for features more frequent among toxic rows
     part = lambda x, total, all_: F.when(x > 0, x * F.log(x / total / all_)).otherwise(0.0)
     p, u = F.col("p"), F.col("u")
@@ -160,18 +158,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     top = seen.where((p >= 3) & (p / n_p > u / n_u)).withColumn("gain", gain).where("gain > 3").orderBy(F.desc("gain"), "feature").limit(n_features)
     keys = np.sort(np.array([r["feature"] for r in top.select("feature").collect()], np.int64))  # at most n_features
 
-    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            feature = batch.column("feature").to_numpy()
-            at = np.minimum(np.searchsorted(keys, feature), len(keys) - 1)
-            hit = keys[at] == feature
-            row = np.searchsorted(ids, batch.column("row").to_numpy()[hit])
-            key = row.astype(np.int64) << 32 | at[hit]
-            # a row of the result carries a batch's entries: place of row and column, and value
-            yield pa.RecordBatch.from_pydict({"key": [key.tobytes()], "value": [batch.column("value").to_numpy()[hit].tobytes()]})
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                text, feature, count, n_words = features(batch.column("text"))
+                at = np.minimum(np.searchsorted(keys, feature), len(keys) - 1)
+                hit = keys[at] == feature
+                text = text[hit]
+                key = batch.column("row").to_numpy()[text] << 32 | at[hit]
+                value = weight(count[hit], n_words[text]).astype(np.float32)
+                # a row of the result carries a slice's entries: place of row and column, and value
+                yield pa.RecordBatch.from_pydict({"key": [key.tobytes()], "value": [value.tobytes()]})
 
     # the sample's entries of kept features: bounded by the sample and the number of features
-    got = found.select("row", "feature", "value").mapInArrow(compact, "key binary, value binary").collect() if len(keys) else []
+    got = sample.mapInArrow(kept, "key binary, value binary").collect() if len(keys) else []
     key = np.frombuffer(b"".join(bytes(r["key"]) for r in got), np.int64)
     order = np.argsort(key, kind="stable")
     value = np.frombuffer(b"".join(bytes(r["value"]) for r in got), np.float32)[order]

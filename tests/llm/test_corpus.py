@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -447,6 +448,35 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_without_files(spark):
+    """Tables of the sample's entries are not written, and the model is that of a plain count over the sample."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").select("doc_id", c) for t, c in (("documents", "text"), ("labels", "toxic")))
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.rglob("*"))
+    model = toxicity.fit(docs, labels, n_features=50)
+    assert set(shared.rglob("*")) <= before
+    known = dict(map(tuple, labels.collect()))
+    texts = {i: t for i, t in docs.where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").collect()}
+    some = None if any(known.get(i) is None for i in texts) else 0
+    ids = [i for i in texts if known.get(i) == 1] + [i for i in texts if known.get(i) == some]
+    toxic = np.array([known.get(i) == 1 for i in ids])
+    found = [toxicity.features(pa.array([texts[i]])) for i in ids]
+    n, seen = (toxic.sum(), (~toxic).sum()), {}
+    for is_toxic, (_, feature, _, _) in zip(toxic, found, strict=True):
+        for f in feature.tolist():
+            seen.setdefault(f, [0, 0])[0 if is_toxic else 1] += 1
+    part = lambda x, total, rate: x * math.log(x / total / rate) if x else 0.0
+    gain = {f: sum(part(x, m, r) + part(m - x, m, 1 - r) for x, m in zip(c, n, strict=True)) for f, c in seen.items() if c[0] >= 3 and c[0] / n[0] > c[1] / n[1] for r in [sum(c) / sum(n)]}
+    keys = np.array(sorted(sorted(f for f in gain if gain[f] > 3), key=lambda f: -round(gain[f], 9))[:50])
+    keys.sort()
+    assert model.keys.tolist() == keys.tolist() and len(keys)
+    entries = [(row, np.searchsorted(keys, f), toxicity.weight(c, w[0])) for row, (_, feature, count, w) in enumerate(found) for f, c in zip(feature, count, strict=True) if f in keys]
+    row, col, value = (np.array(x) for x in zip(*entries, strict=True))
+    labelled = [known[i] for i in texts if known.get(i) is not None]
+    plain = toxicity.train(keys, row, col, value.astype(np.float32), toxic, sum(labelled) / len(labelled))
+    assert np.allclose(model.weights, plain.weights) and abs(model.bias - plain.bias) < 1e-6
+
+
 # 6 n-grams
 
 
