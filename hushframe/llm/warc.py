@@ -1,12 +1,13 @@
 """WARC archives of pages, and a two-level capture index over them.
 
 Writing. A page becomes one WARC/1.0 record. Records are written by Spark's text sink with the record's closing
-CR LF CR LF as line separator, so the archives are plain WARC files on whatever file system Spark can write to. Of the
+CR LF CR LF as line separator, so the archives are plain WARC files on whatever file system Spark can write to; to a local
+(or mounted) folder tasks write the same bytes themselves, as said below. Of the
 records with equal payloads of ``least`` bytes or more, the one with the smallest page_id is a response and the
 others are revisits that name it; smaller payloads are always responses. Rows that tie for the smallest page_id are
 all responses. A null html is an empty payload; a null url gives an empty target.
 
-Reading. Archives are read as binary files (their size is bounded when they are written) and parsed by their
+Reading. Archives are read as whole files (their size is bounded when they are written) and parsed by their
 Content-Length, so a payload may hold anything, also whole WARC records. Each record gives a capture: reversed-host key,
 file, offset, length, and the payload's size and digest as found in the archive.
 
@@ -14,6 +15,11 @@ Index. Captures are range-partitioned and sorted by key (url, then page), then p
 a sparse directory has each block's first key. It has ``DIRECTORY`` entries at most, as blocks grow with the number of captures beyond. A lookup
 binary-searches the directory, inflates the block or blocks that may hold the key, binary-searches them, and range-reads the record. A table of
 keys is looked up in the same way: tasks search the directory, keys meet their blocks by a join, and each block is searched once for all of its keys.
+
+Executors start a process for each file or folder that Spark makes on a local disk (``chmod``), and until it has replaced itself it counts the
+executor's memory a second time. So tasks write archives and blocks on a local disk without Spark, each task in a folder that gets its name when all is
+written; and tables that are needed a few times on the way are no files of the shared folder but stay on the executors' disks, and are computed again where
+an executor is lost.
 """
 
 from __future__ import annotations
@@ -21,17 +27,23 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import os
+import shutil
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack, contextmanager
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_place, bit_table, bits_at, cut, new_path, stored
+from .common import bit_place, bit_table, bits_at, new_path
 
 LEAST = 100
 PER_BLOCK = 2000
@@ -39,11 +51,12 @@ PER_BLOCK = 2000
 DIRECTORY = 100_000
 #: Bytes of a file of the archive: a record that would go beyond begins the next file, so only a single record can be longer.
 FILE_BYTES = 16 << 20
-#: What a record's headers take at most besides its url.
-HEAD = 700
+#: Hadoop's local file system, and Hive's name for it.
+LOCAL = ("org.apache.hadoop.fs.LocalFileSystem", "org.apache.hadoop.hive.ql.io.ProxyLocalFileSystem")
 END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 CAPTURE = "surt string, page_id long, file string, offset long, length long, record_type string, payload_bytes long, payload_digest string, refers_to long"
+BLOCK = "block long, first string, first_page long, n int, data binary"
 _SCHEMA = pa.schema([("surt", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 
 
@@ -58,6 +71,16 @@ def surt(url: str) -> str:
     return f"{key}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
+@contextmanager
+def _held(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` on the executors' disks, for as long as the block runs."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def _uuid(seed: Column) -> Column:
     h = F.md5(seed)
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
@@ -68,46 +91,92 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     spark = pages.sparkSession
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x1F\x7F]", "").alias("url"), html.alias("html")).withColumns(
-        {"bytes": F.octet_length("html").cast("long"), "digest": F.sha2(F.encode("html", "utf-8"), 256)}
+        {"bytes": F.octet_length("html").cast("long"), "digest": F.sha2(F.col("html").cast("binary"), 256)}
     )
     # only digests that two rows or more share; combined before the shuffle
     shared = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    shared = cut(shared)
-    # payloads whose digest nobody shares are written where they are read; only the others are dealt out to be joined
-    table = spark.sparkContext.broadcast(bit_table(shared.select(bit_place("d").alias("p"))))
-    marked = rows.withColumn("p", bit_place("digest"))
-
-    def rolled(batch: pa.RecordBatch, state: list[int]) -> pa.RecordBatch:
-        """With the number of the file, within the task, that each record goes to."""
-        size = batch.column(batch.schema.get_field_index("bytes")).to_numpy() + pc.binary_length(batch.column(batch.schema.get_field_index("url"))).to_numpy() + HEAD
-        roll = np.empty(len(size), np.int32)
-        for i, n in enumerate(size.tolist()):
-            if state[1] and state[1] + n > file_bytes:
-                state[0], state[1] = state[0] + 1, 0
-            state[1] += n
-            roll[i] = state[0]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(roll)], names=[*batch.schema.names, "roll"])
-
-    def some(shares: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            state = [0, 0]
-            for batch in batches:
-                hit = bits_at(table.value, batch.column("p").to_numpy())
-                kept = batch.filter(pa.array(hit == shares))
-                yield kept if shares else rolled(kept, state)
-
-        return run
-
-    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = [0, 0]
-        for batch in batches:
-            yield rolled(batch, state)
 
-    known = "page_id long, url string, html string, bytes long, digest string"
-    alone = marked.mapInArrow(some(False), f"{known}, p long, roll int").select(*rows.columns, F.lit(None).cast("long").alias("first"), "roll")
-    dealt = marked.mapInArrow(some(True), f"{known}, p long").join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left").select(*rows.columns, "first").hint("rebalance")
-    for found in (alone, dealt.mapInArrow(roll, f"{known}, first long, roll int")):
-        found.select(_record().alias("value"), "roll").write.mode("append").option("lineSep", END).partitionBy("roll").text(path)
+    with _held(shared) as shared:
+        # payloads whose digest nobody shares are written where they are read; only the others are dealt out to be joined
+        table = spark.sparkContext.broadcast(bit_table(shared.select(bit_place("d").alias("p"))))
+        marked = rows.withColumn("p", bit_place("digest"))
+
+        def some(shares: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield batch.filter(pa.array(bits_at(table.value, batch.column("p").to_numpy()) == shares))
+
+            return run
+
+        _sink(marked.withColumn("first", F.lit(None).cast("long")).select(_record().alias("value"), "p"), path, file_bytes, some(False))
+        dealt = marked.mapInArrow(some(True), "page_id long, url string, html string, bytes long, digest string, p long")
+        dealt = dealt.join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left").select(*rows.columns, "first").hint("rebalance")
+        _sink(dealt.select(_record().alias("value")), path, file_bytes)
+
+
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path without its scheme if it is one of a plain local file system, else None."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(at).toUri().getPath() if system.getClass().getName() in LOCAL else None
+
+
+@contextmanager
+def _folder(local: str, run: str) -> Iterator[tuple[str, int]]:
+    """A folder for what a task writes, and the task's number. It gets its name at once when the block has ended, so that of a task that runs again only one try counts."""
+    part = TaskContext.get().partitionId()
+    own, named = f"{local}/_{run}-{uuid.uuid4().hex}", f"{local}/{run}-{part:05d}"
+    os.makedirs(own)
+    try:
+        yield own, part
+        if os.listdir(own):
+            try:
+                os.rename(own, named)
+            except OSError:
+                if not os.path.isdir(named):  # else another try was first
+                    raise
+    finally:
+        shutil.rmtree(own, ignore_errors=True)
+
+
+def _sink(found: DataFrame, path: str, file_bytes: int, some: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> None:
+    """Write the records in column ``value`` that ``some`` lets pass into files of at most ``file_bytes`` below ``path``."""
+    local, run = _local(found.sparkSession, path), uuid.uuid4().hex
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Records, and the number of the file within the task that each goes to."""
+        file, size = 0, 0
+        for batch in some(batches):
+            value = batch.column("value")
+            of = np.empty(len(value), np.int32)
+            for i, n in enumerate((pc.binary_length(value).to_numpy() + len(END)).tolist()):
+                if size and size + n > file_bytes:
+                    file, size = file + 1, 0
+                size += n
+                of[i] = file
+            yield value, of
+
+    def rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for value, of in roll(batches):
+            yield pa.RecordBatch.from_arrays([value, pa.array(of)], names=["value", "roll"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _folder(local, run) as (own, part), ExitStack() as files:
+            at = -1
+            for value, of in roll(batches):
+                for record, file in zip(value, of.tolist(), strict=True):
+                    if file != at:
+                        files.close()
+                        out, at = files.enter_context(open(f"{own}/part-{part:05d}-{file:05d}.warc", "wb")), file
+                    out.write(record.as_buffer())
+                    out.write(END.encode())
+        yield from ()
+
+    if local is None:
+        found.mapInArrow(rolled, "value string, roll int").write.mode("append").option("lineSep", END).partitionBy("roll").text(path)
+    else:
+        os.makedirs(local, exist_ok=True)
+        found.mapInArrow(kept, "none int").write.format("noop").mode("overwrite").save()
 
 
 def _record() -> Column:
@@ -152,14 +221,25 @@ def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryvi
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives below ``path``; sizes and digests of responses are taken from the payload read."""
+    """Every record of the archives below ``path``; sizes and digests of responses are taken from the payload read.
+
+    Files on a local disk are opened by the tasks, others are read by Spark."""
+    local = _local(spark, path) is not None
+
+    def contents(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+        for i, file in enumerate(batch.column("path").to_pylist()):
+            if local:
+                with open("/" + file.removeprefix("file:").lstrip("/"), "rb") as f:
+                    yield file, f.read()
+            else:
+                yield file, batch.column("content")[i].as_py()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _SCHEMA
         for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for file, content in contents(batch):
                 out: list[list] = [[] for _ in schema]
-                for offset, length, head, payload in records(content.as_py()):
+                for offset, length, head, payload in records(content):
                     named = head["warc-payload-digest"].removeprefix("sha256:")
                     if head["warc-type"] == "revisit":
                         row = ("revisit", int(head["x-payload-bytes"]), named, int(head["x-refers-to-page"]))
@@ -172,7 +252,8 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, CAPTURE)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", *[] if local else ["content"]).mapInArrow(run, CAPTURE)
 
 
 def _key(url_key: str, page: int | None) -> tuple[str, int]:
@@ -190,6 +271,10 @@ def _run(rows: list[list], key: tuple[str, int]) -> list[list]:
     return rows[bisect.bisect_left(rows, key, key=of) : bisect.bisect_right(rows, key, key=of)]
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BLOCK).option("recursiveFileLookup", "true").parquet(f"{path}/blocks")
+
+
 def write_index(found: DataFrame, path: str, per_block: int = PER_BLOCK) -> None:
     """Blocks of sorted captures below ``path``/blocks, their directory below ``path``/directory. Equal urls are told apart by
     page_id, file and offset, so a hot host or url spreads over many blocks."""
@@ -218,8 +303,22 @@ def write_index(found: DataFrame, path: str, per_block: int = PER_BLOCK) -> None
 
     spark = found.sparkSession
     ranged = found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
-    ranged.mapInArrow(run, "block long, first string, first_page long, n int, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
-    spark.read.parquet(f"{path}/blocks").select("block", "first", "first_page", "n").write.parquet(f"{path}/directory")
+    local, name = _local(spark, f"{path}/blocks"), uuid.uuid4().hex
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _folder(local, name) as (own, task), ExitStack() as files:
+            out = None
+            for made_block in run(batches):
+                out = out or files.enter_context(pq.ParquetWriter(f"{own}/part-{task:05d}.parquet", made_block.schema, compression="none"))
+                out.write_batch(made_block)
+        yield from ()
+
+    if local is None:
+        ranged.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    else:
+        os.makedirs(local)
+        ranged.mapInArrow(kept, "none int").write.format("noop").mode("overwrite").save()
+    _blocks(spark, path).select("block", "first", "first_page", "n").coalesce(1).write.parquet(f"{path}/directory")  # ``DIRECTORY`` rows at most
 
 
 class Directory:
@@ -268,7 +367,7 @@ def lookup(keys: DataFrame, path: str) -> DataFrame:
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(_SCHEMA), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     asked = keys.mapInArrow(ask, "surt string, page_id long, block long")
-    blocks = spark.read.parquet(f"{path}/blocks").select("block", "data")
+    blocks = _blocks(spark, path).select("block", "data")
     return asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(search, CAPTURE)
 
 
@@ -298,7 +397,7 @@ class Index:
         if not wanted:
             return []
         out = []
-        for b in self.spark.read.parquet(f"{self.path}/blocks").where(F.col("block").isin(wanted)).select("data").collect():
+        for b in _blocks(self.spark, self.path).where(F.col("block").isin(wanted)).select("data").collect():
             rows = _inflate(bytes(b["data"]))
             for row in rows[bisect.bisect_left(rows, key, key=lambda r: r[0]) : bisect.bisect_right(rows, key, key=lambda r: r[0])]:
                 capture = dict(zip(_SCHEMA.names, row, strict=True))
@@ -311,7 +410,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the archive, read it back, index its captures, and look every page up in the index."""
     pages, path = spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc")
     write(pages, f"{path}/archive")
-    write_index(stored(captures(spark, f"{path}/archive"), "captures"), f"{path}/index")
+    with _held(captures(spark, f"{path}/archive")) as found:
+        write_index(found, f"{path}/index")
     return lookup(keys_of(pages), f"{path}/index").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

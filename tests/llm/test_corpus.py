@@ -642,6 +642,60 @@ def test_warc_files_are_bounded(spark, tmp_path):
     assert found.count() == len(rows) and found.where("record_type = 'revisit' AND refers_to = 3000").count() == 199
 
 
+def test_warc_makes_no_other_files(spark, tmp_path):
+    """Tasks make files of the archive, the blocks and one directory only, as each file costs an executor a process; nothing stays cached."""
+    rows = [(i, f"http://h{i % 7}/{i}", f"page {i % 300} " * 30) for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6).write.parquet(f"{tmp_path}/pages.parquet")
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    files = lambda: {p.relative_to(shared) for p in shared.rglob("part-*")}
+    cached = lambda: set(spark.sparkContext._jsc.getPersistentRDDs())
+    had, held = files(), cached()
+    found = warc.op8_warc(spark, str(tmp_path))
+    new = files() - had
+    made = collections.Counter(p.parts[1:3] if p.parts[1:2] == ("index",) else p.parts[1:2] for p in new)
+    assert set(made) == {("archive",), ("index", "blocks"), ("index", "directory")} and made["index", "directory"] == 1 and cached() <= held
+    # Spark's sinks leave a file of checksums beside each file of a local disk
+    own = shared / next(iter(new)).parts[0]
+    assert not [p for at in ("archive", "index/blocks") for p in (own / at).rglob("*") if p.name.startswith((".", "_"))]
+    assert found.where("record_type = 'revisit' AND refers_to = page_id - 300").count() == 100 and found.count() == 400
+
+
+def test_warc_sinks_agree(spark, tmp_path, monkeypatch):
+    """Archives that tasks write on a local disk hold what Spark's text sink writes elsewhere; a second archive goes beside the first; of a task that runs twice one try counts."""
+    rows = [(i, f"http://h{i % 7}/{i}", f"é page {i % 300} " * (i % 90)) for i in range(400)] + [(None, None, None), (9000, "http://big/", "x" * 50_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    read = lambda at: collections.Counter(bytes(p) for f in (tmp_path / at).rglob("part-*") for *_, p in [(0, f.read_bytes()[o : o + n]) for o, n, _, _ in warc.records(f.read_bytes())])
+    warc.write(pages, f"{tmp_path}/local", file_bytes=20_000)
+    assert sorted(f.stat().st_size for f in (tmp_path / "local").rglob("part-*"))[-2] <= 20_000
+    once = read("local")
+    warc.write(pages, f"{tmp_path}/local")
+    assert read("local") == once + once and once.total() == len(rows)
+    found = spark.createDataFrame([(f"WARC/1.0\r\nContent-Length: 1\r\n\r\n{i}",) for i in range(8)], "value string").coalesce(1)
+    monkeypatch.setattr(warc.uuid, "uuid4", lambda: type("U", (), {"hex": "same"}))
+    for _ in range(2):
+        warc._sink(found, f"{tmp_path}/twice", 100)
+    assert read("twice").total() == 8 and not list((tmp_path / "twice").glob("_*"))
+    monkeypatch.undo()
+    monkeypatch.setattr(warc, "_local", lambda *_: None)
+    warc.write(pages, f"{tmp_path}/sink", file_bytes=20_000)
+    assert read("sink") == once and list((tmp_path / "sink").glob("roll=*"))
+    warc.write_index(warc.captures(spark, f"{tmp_path}/sink"), f"{tmp_path}/index", per_block=20)
+    assert warc.lookup(warc.keys_of(pages), f"{tmp_path}/index").count() == len(rows)
+    names = ["page_id", "offset", "length", "payload_digest"]
+    remote = sorted(warc.captures(spark, f"{tmp_path}/sink").select(names).collect(), key=repr)
+    monkeypatch.undo()
+    assert remote == sorted(warc.captures(spark, f"{tmp_path}/sink").select(names).collect(), key=repr)
+
+
+def test_warc_bytes_that_are_no_utf8(spark, tmp_path):
+    """A payload's digest is that of the bytes written."""
+    rows = spark.createDataFrame([(i, "http://a/", b"\xff\xfe" + b"x" * 200) for i in (1, 2)], "page_id long, url string, html binary").select("page_id", "url", F.expr("cast(html AS string)").alias("html"))
+    warc.write(rows, f"{tmp_path}/archive")
+    found = sorted((r["page_id"], r["record_type"], r["payload_bytes"], r["payload_digest"]) for r in warc.captures(spark, f"{tmp_path}/archive").collect())
+    sha = hashlib.sha256(b"\xff\xfe" + b"x" * 200).hexdigest()
+    assert found == [(1, "response", 202, sha), (2, "revisit", 202, sha)]
+
+
 @pytest.mark.parametrize("page", ["<a " * 300_000, "<a " * 300_000 + ">", "<b>" * 20_000 + "</zz>" * 20_000, "<b>" * 20_000 + "<p></p>" * 20_000, "<ul><li><ul>" + "<b>" * 20_000 + "<li></li>" * 20_000, "<a x='\">" * 100_000, "<div class=ad>" * 20_000 + "<h1>x</h1>", "<!--" * 200_000, "<" * 1_000_000])
 def test_html_time(page):
     """About a megabyte of what makes careless parsers slow."""
