@@ -109,6 +109,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             return run
 
         _sink(marked.withColumn("first", F.lit(None).cast("long")).select(_record().alias("value"), "p"), path, file_bytes, some(False))
+        if not table.value.any():  # no payload has equals
+            return
         dealt = marked.mapInArrow(some(True), "page_id long, url string, html string, bytes long, digest string, p long")
         dealt = dealt.join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left").select(*rows.columns, "first").hint("rebalance")
         _sink(dealt.select(_record().alias("value")), path, file_bytes)
